@@ -73,11 +73,17 @@ def l1_power_factor(scored: DataFrame, minimum: float = C.PF_MIN_THRESHOLD) -> D
     return _flags(df, "L1_POWER_FACTOR", "pf", F.lit("WARNING"), F.col("pf_mean"), text)
 
 
+def _once(value: Column, use) -> Column:
+    """Applies ``use`` to a value that is computed once per row (bound as a lambda variable)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _middle(values: Column) -> Column:
     """Median of an array (mean of the two middle values)."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    def pick(s):
+        n = F.size(s)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return _once(F.sort_array(values), pick)
 
 
 def rolling_mad_z(scored: DataFrame, window: int = C.MAD_WINDOW) -> DataFrame:
@@ -85,10 +91,12 @@ def rolling_mad_z(scored: DataFrame, window: int = C.MAD_WINDOW) -> DataFrame:
     rows = (scored.where(F.col("complete") & F.col("energy_kwh").isNotNull() & F.col("expected_kwh").isNotNull())
             .withColumn("residual", F.col("energy_kwh") - F.col("expected_kwh")))
     rows = rows.withColumn("_w", F.collect_list("residual").over(_timeline().rowsBetween(-(window - 1), 0)))
-    rows = rows.withColumn("_med", _middle(F.col("_w")))
-    rows = rows.withColumn("_mad", _middle(F.transform("_w", lambda v: F.abs(v - F.col("_med")))))
-    z = F.when((F.size("_w") < 3) | (F.col("_mad") <= 0), 0.0).otherwise((F.col("residual") - F.col("_med")) * 0.6745 / F.col("_mad"))
-    return rows.withColumn("z", z).drop("_w", "_med", "_mad")
+
+    def z_for(med):
+        spread = _middle(F.transform(F.col("_w"), lambda v: F.abs(v - med)))
+        return _once(spread, lambda mad: F.when((F.size("_w") < 3) | (mad <= 0), 0.0).otherwise(
+            (F.col("residual") - med) * 0.6745 / mad))
+    return rows.withColumn("z", _once(_middle(F.col("_w")), z_for)).drop("_w")
 
 
 def l2_mad(scored: DataFrame, threshold: float = C.MAD_THRESHOLD, window: int = C.MAD_WINDOW,

@@ -46,7 +46,7 @@ def signal_contributions(intervals: DataFrame, reference: DataFrame, min_rows: i
     df = df.withColumns({
         "z": py_round(robust_z(F.col("value"), F.col("median"), F.col("mad")), 2),
         "pct_change": F.when(F.col("median") != 0, py_round((F.col("value") - F.col("median")) / F.abs("median") * 100.0, 1))})
-    total = F.sum(F.abs("z")).over(Window.partitionBy(*IV_KEY))
+    total = py_round(F.sum(F.abs("z")).over(Window.partitionBy(*IV_KEY)), 2)
     df = df.withColumn("_w", F.when(total > 0, py_round(F.abs("z") / total, 3)).otherwise(0.0)).withColumn("_total", total)
     df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*IV_KEY).orderBy(F.abs("z").desc(), "pos")))
     rest = F.sum(F.when(F.col("rank") > 1, F.col("_w")).otherwise(0.0)).over(Window.partitionBy(*IV_KEY))

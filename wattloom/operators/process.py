@@ -18,10 +18,13 @@ def local_day(ts: str, tz: str = C.LOCAL_TZ) -> Column:
 
 
 def daily_hours_energy(intervals: DataFrame, tz: str = C.LOCAL_TZ) -> DataFrame:
-    """State hours and energy of complete intervals per local day of the interval start."""
+    """State hours and energy of complete intervals per local day of the interval start.
+
+    Interval hours carry four decimals, so their sum is snapped back to four.
+    """
     idle_output = F.coalesce("good_production_kg", F.lit(0.0)) <= 0
     df = intervals.where("complete").groupBy("machine_id", local_day("window_start", tz).alias("day")).agg(
-        *[F.sum(c).alias(c) for c in HOUR_COLUMNS], F.sum("energy_kwh").alias("energy_kwh"),
+        *[py_round(F.sum(c), 4).alias(c) for c in HOUR_COLUMNS], F.sum("energy_kwh").alias("energy_kwh"),
         F.coalesce(F.sum(F.when(idle_output, F.col("energy_kwh"))), F.lit(0.0)).alias("non_productive_kwh"))
     return df.withColumn("non_productive_share", F.when(F.col("energy_kwh") > 0, F.col("non_productive_kwh") / F.col("energy_kwh")))
 

@@ -46,7 +46,7 @@ SELECT machine_id, ts, event_id * 10 + CASE WHEN event_id % 50 = 0 THEN 35 ELSE
  400.0::DOUBLE + k % 30 AS voltage_v, value * 1.5::DOUBLE AS current_a, p AS power_kw, q AS reactive_power_kvar,
  CASE WHEN sqrt(p * p + q * q) > 0 THEN p / sqrt(p * p + q * q) END AS power_factor,
  counter / 100.0::DOUBLE / CASE WHEN event_id % 997 = 0 THEN 2 ELSE 1 END AS energy_kwh,
- 1.0::DOUBLE + (cents % 500) / 100.0::DOUBLE AS vibration_mm_s, 600.0::DOUBLE + k * 10.0::DOUBLE AS temperature_c,
+ (1.0::DOUBLE + (cents % 500) / 100.0::DOUBLE) * CASE WHEN day(ts) % 6 = 0 AND hour(ts) BETWEEN 8 AND 11 THEN 2.5::DOUBLE WHEN day(ts) % 6 = 0 AND hour(ts) BETWEEN 12 AND 19 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS vibration_mm_s, 600.0::DOUBLE + k * 10.0::DOUBLE AS temperature_c,
  machine_state, CASE WHEN event_id % 10 < 7 THEN 'SIMULATED' ELSE 'MEASURED' END AS source, event_id
 FROM (SELECT *, CASE WHEN event_id % 211 = 0 THEN -value ELSE value END AS p, k::DOUBLE AS q FROM f_counted)
 """)

@@ -16,6 +16,9 @@ from wattloom.operators import anomaly, baseline, intervals
 from wattloom.sources import canonical as S
 
 DIGITS = 4
+# Values with few decimals (means of prices, say) often end exactly half way at the last
+# printed digit, where the order of a float sum decides. Both sides add the same nudge.
+NUDGE = 1e-7
 
 
 def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -24,7 +27,7 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            r = F.round(c.cast("double"), digits)
+            r = F.round(c.cast("double") + NUDGE, digits)
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
@@ -207,8 +210,25 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _nudged(sql: str) -> str:
+    """``round(x, 4)`` as ``round(x + 1e-7, 4) + 0.0`` (no half-way ties, no negative zero)."""
+    out, at = [], 0
+    for m in re.finditer(r"(?<![a-z_])round\(", sql):
+        if m.start() < at:
+            continue
+        depth, i = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            i += 1
+        body = sql[m.end():i - 1]
+        if body.endswith(", 4"):
+            out.append(f"{sql[at:m.start()]}(round({body[:-3]} + 1e-7, 4) + 0.0)")
+            at = i
+    return "".join([*out, sql[at:]])
+
+
 def oracle_statements() -> dict[str, str]:
-    return {k: compose(v) for k, v in ORACLE.items()}
+    return {k: _nudged(compose(v)) for k, v in ORACLE.items()}
 
 
 __all__ = ["C", "F", "FRAGMENTS", "ORACLE", "Plant", "QUERIES", "S", "compose", "forget_plants", "fragment",

@@ -7,8 +7,6 @@ from wattloom.functions import scan
 from wattloom.operators import anomaly, baseline, intervals, sec
 from wattloom.plans.common import S, query
 
-# Means of two-decimal values often end exactly half way at the printed digit; both sides nudge alike.
-_MEAN_POWER = (F.col("power_mean_kw") + 1e-7).alias("power_mean_kw")
 _HOURS = ", ".join(f"hours_{s}" for s in ("heating", "melting", "holding", "idle", "unknown"))
 
 
@@ -30,13 +28,13 @@ def _(p):
 SELECT machine_id, window_start, window_end, complete, array_to_string(incomplete_reasons, '; ') AS incomplete_reasons,
  round(energy_kwh, 4) AS energy_kwh, {_HOURS}, n_good, n_bad, coverage_pct, round(good_production_kg, 4) AS good_production_kg,
  round(rejected_production_kg, 4) AS rejected_production_kg, has_production_record, round(power_max_kw, 4) AS power_max_kw,
- round(power_mean_kw + 1e-7, 4) AS power_mean_kw, round(pf_mean, 4) AS pf_mean FROM f_iv
+ round(power_mean_kw, 4) AS power_mean_kw, round(pf_mean, 4) AS pf_mean FROM f_iv
 """)
 def _(p):
     return p.intervals().select(
         "machine_id", "window_start", "window_end", "complete", "incomplete_reasons", "energy_kwh", "hours_heating", "hours_melting",
         "hours_holding", "hours_idle", "hours_unknown", "n_good", "n_bad", "coverage_pct", "good_production_kg",
-        "rejected_production_kg", "has_production_record", "power_max_kw", _MEAN_POWER, "pf_mean")
+        "rejected_production_kg", "has_production_record", "power_max_kw", "power_mean_kw", "pf_mean")
 
 
 @query("interval_counts", "SELECT machine_id, k, n_good, n_bad FROM f_perbucket")
@@ -65,11 +63,11 @@ def _(p):
 
 
 @query("interval_power", """
-SELECT machine_id, k, round(power_max_kw, 4) AS power_max_kw, round(power_mean_kw + 1e-7, 4) AS power_mean_kw, round(pf_mean, 4) AS pf_mean FROM f_perbucket
+SELECT machine_id, k, round(power_max_kw, 4) AS power_max_kw, round(power_mean_kw, 4) AS power_mean_kw, round(pf_mean, 4) AS pf_mean FROM f_perbucket
 """)
 def _(p):
     return intervals.bucket_readings(p.telemetry(), S.START, S.END, p.interval_s).select(
-        "machine_id", "k", "power_max_kw", _MEAN_POWER, "pf_mean")
+        "machine_id", "k", "power_max_kw", "power_mean_kw", "pf_mean")
 
 
 @query("interval_production", """

@@ -98,6 +98,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(e % 211 == 0, -F.col("value")).otherwise(F.col("value"))
     q = F.col("k").cast("double")
     s = F.sqrt(p * p + q * q)
+    worn = (F.dayofmonth("ts") % 6 == 0) & F.hour("ts").between(8, 19)
+    wear = F.when(worn & (F.hour("ts") < 12), 2.5).when(worn, 2.0).otherwise(1.0)
     first = b.select(
         "machine_id", "ts", (e * 10 + F.when(e % 50 == 0, 35).otherwise(0)).alias("seq"),
         (F.lit(400.0) + F.col("k") % 30).alias("voltage_v"),
@@ -105,7 +107,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         p.alias("power_kw"), q.alias("reactive_power_kvar"),
         F.when(s > 0, p / s).alias("power_factor"),
         (F.col("_counter") / 100.0 / F.when(e % 997 == 0, 2).otherwise(1)).alias("energy_kwh"),
-        (F.lit(1.0) + F.pmod(F.col("cents"), F.lit(500)) / 100.0).alias("vibration_mm_s"),
+        ((F.lit(1.0) + F.pmod(F.col("cents"), F.lit(500)) / 100.0) * wear).alias("vibration_mm_s"),
         (F.lit(600.0) + F.col("k") * 10.0).alias("temperature_c"),
         "machine_state",
         F.when(e % 10 < 7, "SIMULATED").otherwise("MEASURED").alias("source"), "event_id")
