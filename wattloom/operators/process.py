@@ -80,9 +80,13 @@ def process_findings(daily: DataFrame, reference: DataFrame, min_hold_h: float =
     furnace = F.col("machine_type") == "furnace"
     hold = F.when(furnace, F.col("holding_per_heat_h")).otherwise(F.col("holding_hours"))
 
+    def shown(value, digits):
+        value = value.cast("double")
+        return value if digits is None else F.round(value + 1e-9, digits)
+
     def row(metric, value, digits, unit, reference):
         return F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("raw"),
-                        (py_round(value.cast("double"), digits) if digits is not None else value.cast("double")).alias("value"),
+                        shown(value, digits).alias("value"),
                         unit.alias("unit"), reference.cast("double").alias("reference"))
     rows = F.array(
         row("idle_hours", F.col("idle_hours"), 3, F.lit("h"), F.col("_r_idle_hours")),

@@ -101,7 +101,7 @@ def _(p):
 
 
 @query("process_findings", """
-SELECT machine_id, day, metric, CASE WHEN digits = 9 THEN value WHEN digits = 4 THEN round_even(value, 4) ELSE round_even(value, 3) END AS value, unit,
+SELECT machine_id, day, metric, CASE WHEN digits = 9 THEN value WHEN digits = 4 THEN round(value, 4) ELSE round(value + 1e-9, 3) END AS value, unit,
  round(reference, 4) AS reference, above_reference FROM f_find
 """)
 def _(p):
