@@ -158,7 +158,7 @@ def validate_schedules(heats: DataFrame, aux: DataFrame, constraints: DataFrame,
 
     constraints: plan_id, machine_id, n_slots, n_heats, cold_slots, reheat_slots, first_cold, peak_cap_kw.
     """
-    w = Window.partitionBy("plan_id").orderBy("start_slot")
+    w = Window.partitionBy("plan_id").orderBy("start_slot", "heat_no")
     h = (heats.join(constraints.drop("machine_id").withColumnRenamed("reheat_slots", "_extra"), "plan_id")
          .withColumns({"pos": F.row_number().over(w) - 1, "_end": end_slot(), "_prev": F.lag(end_slot()).over(w),
                        "_count": F.count("*").over(Window.partitionBy("plan_id"))}))
