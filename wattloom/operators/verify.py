@@ -321,7 +321,7 @@ def true_saving_pairs(energy: DataFrame, starts: DataFrame) -> DataFrame:
     e = energy.groupBy(*key).agg((total("control", "pre") - total("treated", "pre")).alias("_pre"), (total("control", "post") - total("treated", "post")).alias("true_saving_kwh"))
     per_ts = starts.groupBy(*key, "ts").agg(F.count_if(F.col("arm") == "control").alias("_c"), F.count_if(F.col("arm") == "treated").alias("_t"))
     odd = per_ts.groupBy(*key).agg(F.count_if(F.col("_c") != F.col("_t")).alias("_odd"))
-    return e.join(odd, key, "left").select(*key, py_round("true_saving_kwh", 3).alias("true_saving_kwh"), (F.abs("_pre") < 1e-6).alias("pre_equal"),
+    return e.join(odd, key, "left").select(*key, F.round(F.col("true_saving_kwh") + 1e-9, 3).alias("true_saving_kwh"), (F.abs("_pre") < 1e-6).alias("pre_equal"),
                                            (F.coalesce("_odd", F.lit(0)) == 0).alias("paired"))
 
 
