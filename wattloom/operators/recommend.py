@@ -231,10 +231,12 @@ def candidates(events: DataFrame, insights: DataFrame, findings: DataFrame, runs
 
 def generate_recommendations(events: DataFrame, insights: DataFrame, findings: DataFrame, runs: DataFrame) -> DataFrame:
     """All rules, conflicts marked, one row per dedup key (the more severe one where two share it)."""
-    found = candidates(events, insights, findings, runs)
+    return mark_conflicts(one_per_key(candidates(events, insights, findings, runs)))
+
+
+def one_per_key(found: DataFrame) -> DataFrame:
     rest = [c for c in found.columns if c != "dedup_key"]
-    unique = found.groupBy("dedup_key").agg(F.min_by(F.struct(*rest), F.struct(-severity_rank(F.col("severity")), F.col("confidence"), F.col("reason"))).alias("_r")).select("dedup_key", "_r.*")
-    return mark_conflicts(unique)
+    return found.groupBy("dedup_key").agg(F.min_by(F.struct(*rest), F.struct(-severity_rank(F.col("severity")), F.col("confidence"), F.col("reason"))).alias("_r")).select("dedup_key", "_r.*")
 
 
 def merge_generation(new: DataFrame, stored: DataFrame) -> DataFrame:

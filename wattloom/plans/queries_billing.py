@@ -136,9 +136,9 @@ def _(p):
 
 
 @query("max_demand", """
-SELECT 'site-1' AS site_id, round(mean_kva, 4) AS max_demand_kva, at AS ends_at FROM (
- SELECT at, avg(kva) OVER w AS mean_kva, count(*) OVER w AS n FROM (SELECT make_timestamp(epoch_us(ts) - epoch_us(ts) % 300000000) AS at, sum(sqrt(power_kw * power_kw + reactive_power_kvar * reactive_power_kvar)) AS kva
-  FROM f_slice WHERE dkwh IS NOT NULL AND reactive_power_kvar IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY at ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6 ORDER BY mean_kva DESC, at LIMIT 1
+SELECT 'site-1' AS site_id, round(mean_kva, 4) AS max_demand_kva, b5 AS ends_at FROM (
+ SELECT b5, avg(kva) OVER w AS mean_kva, count(*) OVER w AS n FROM (SELECT make_timestamp(epoch_us(ts) - epoch_us(ts) % 300000000) AS b5, sum(sqrt(power_kw * power_kw + reactive_power_kvar * reactive_power_kvar)) AS kva
+  FROM f_slice WHERE dkwh IS NOT NULL AND reactive_power_kvar IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY b5 ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6 ORDER BY mean_kva DESC, b5 LIMIT 1
 """)
 def _(p):
     return B.max_demand(slices(p).join(p.machines.select("machine_id", "site_id"), "machine_id"))

@@ -146,7 +146,7 @@ def _(p):
 
 @query("mark_conflicts", "SELECT dedup_key, status, conflict_with FROM f_recsx WHERE status = 'CONFLICT'")
 def _(p):
-    return R.mark_conflicts(R.candidates(p.events(), QH.insights(p), QH.findings(p), run_table(p))).where(
+    return R.mark_conflicts(R.one_per_key(R.candidates(p.events(), QH.insights(p), QH.findings(p), run_table(p)))).where(
         "status = 'CONFLICT'").select("dedup_key", "status", "conflict_with")
 
 

@@ -75,7 +75,9 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
     user = F.col("user_id") % 3
+    hundredths = F.round(F.col("value") * 100).cast("long")
     step = (F.dayofmonth(ts) == 23) & F.hour(ts).between(8, 11)
+    better = (F.dayofmonth(ts) >= 24) & (F.col("event_type") != "click")  # a change that cuts energy, not output
     state = (F.when(F.col("event_id") % 83 == 0, F.lit(None).cast("string"))
              .when(F.dayofmonth(ts) % 7 == 0, "idle")
              .when(F.col("event_type") == "view", "heating")
@@ -86,7 +88,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", ts.alias("ts"),
         F.when(user == 0, "furnace-01").when(user == 1, "compressor-01").otherwise("pump-01").alias("machine_id"),
         state.alias("machine_state"), "value",
-        (F.round(F.col("value") * 100).cast("long") * F.when(step, 5).otherwise(1)).alias("cents"),
+        F.when(step, hundredths * 5).when(better, floor_div(hundredths * 3, 10)).otherwise(hundredths).alias("cents"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
 
 
