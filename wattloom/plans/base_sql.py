@@ -34,7 +34,7 @@ SELECT event_id, ts,
  CASE user_id % 3 WHEN 0 THEN 'furnace-01' WHEN 1 THEN 'compressor-01' ELSE 'pump-01' END AS machine_id,
  CASE WHEN event_id % 83 = 0 THEN NULL WHEN day(ts) % 7 = 0 THEN 'idle' WHEN event_type = 'view' THEN 'heating'
   WHEN event_type = 'click' THEN 'melting' WHEN event_type = 'purchase' THEN 'holding' ELSE 'idle' END AS machine_state,
- value, CASE WHEN day(ts) = 23 AND hour(ts) BETWEEN 8 AND 11 THEN 5 * CAST(round(value * 100) AS BIGINT) WHEN day(ts) >= 24 AND event_type <> 'click' THEN CAST(round(value * 100) AS BIGINT) * 3 // 10
+ value, CASE WHEN day(ts) = 30 AND hour(ts) BETWEEN 8 AND 11 THEN 5 * CAST(round(value * 100) AS BIGINT) WHEN day(ts) >= 24 AND event_type <> 'click' THEN CAST(round(value * 100) AS BIGINT) * 3 // 10
   ELSE CAST(round(value * 100) AS BIGINT) END AS cents,
  CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
 FROM events

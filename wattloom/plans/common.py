@@ -65,6 +65,7 @@ class Plant:
         self.interval_s = S.interval_seconds(spark, sf_dir)
         self.root = f"{stage_root(spark)}/wattloom-{uuid.uuid4().hex}"
         self._stages: dict[str, DataFrame] = {}
+        self.marks: set[str] = set()  # streams that already ran to their end
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._stages:

@@ -76,7 +76,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     user = F.col("user_id") % 3
     hundredths = F.round(F.col("value") * 100).cast("long")
-    step = (F.dayofmonth(ts) == 23) & F.hour(ts).between(8, 11)
+    step = (F.dayofmonth(ts) == 30) & F.hour(ts).between(8, 11)
     better = (F.dayofmonth(ts) >= 24) & (F.col("event_type") != "click")  # a change that cuts energy, not output
     state = (F.when(F.col("event_id") % 83 == 0, F.lit(None).cast("string"))
              .when(F.dayofmonth(ts) % 7 == 0, "idle")

@@ -1,0 +1 @@
+"""The online forms of the operators as Structured Streaming queries."""
