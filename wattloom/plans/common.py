@@ -101,11 +101,12 @@ class Plant:
     # -- derived --------------------------------------------------------
     def telemetry(self) -> DataFrame:
         from wattloom.operators import ingest
+        return self.stage("telemetry", lambda: ingest.validate_telemetry(self.unique(), self.machines, now=S.END, backfill=True))
 
-        def build():
-            unique = ingest.first_arrivals(self.readings())
-            return ingest.validate_telemetry(unique, self.machines, now=S.END, backfill=True)
-        return self.stage("telemetry", build)
+    def unique(self) -> DataFrame:
+        """First arrivals, written once: both ordered scans of the validation read it again."""
+        from wattloom.operators import ingest
+        return self.stage("unique", lambda: ingest.first_arrivals(self.readings()))
 
     def production(self) -> DataFrame:
         from wattloom.operators import ingest

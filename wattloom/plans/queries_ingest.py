@@ -10,7 +10,7 @@ NOW = "2024-01-30 12:00:00"
 
 
 def _unique(p: Plant):
-    return p.stage("unique", lambda: ingest.first_arrivals(p.readings()))
+    return p.unique()
 
 
 def _stored_and_batch(p: Plant):

@@ -46,28 +46,31 @@ def interval_seconds(spark: SparkSession, sf_dir: str) -> int:
     return 86400 if n < 5000 else 14400 if n < 50000 else 3600
 
 
+def _literal(rows: list[tuple], columns: list[str]) -> str:
+    """Inline table: Spark sees its size and broadcasts it by itself."""
+    def lit(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v)
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})"
+
+
 def machines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        MACHINES, "machine_id string, site_id string, name string, machine_type string, rated_power_kw double")
+    return spark.sql(_literal(MACHINES, ["machine_id", "site_id", "name", "machine_type", "rated_power_kw"]))
 
 
 def sensors(spark: SparkSession) -> DataFrame:
-    return (spark.createDataFrame(SENSOR_CHANNELS, "machine_id string, channel string")
+    return (spark.sql(_literal(SENSOR_CHANNELS, ["machine_id", "channel"]))
             .select(F.concat_ws("-", "machine_id", F.lower("channel")).alias("sensor_id"), "machine_id", "channel"))
 
 
 def tariff(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        TARIFF, "site_id string, period_name string, start_min int, end_min int, energy_inr_per_kwh double, "
-                "demand_inr_per_kw double, valid_from string, source_class string"
-    ).withColumn("valid_from", F.to_date("valid_from"))
+    return spark.sql(_literal(TARIFF, ["site_id", "period_name", "start_min", "end_min", "energy_inr_per_kwh", "demand_inr_per_kw",
+                                       "valid_from", "source_class"])).withColumn("valid_from", F.to_date("valid_from"))
 
 
 def emission_factors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        FACTORS, "factor_id string, value_kg_per_kwh double, effective_from string, effective_to string, "
-                 "source_class string, note string"
-    ).withColumns({"effective_from": F.to_date("effective_from"), "effective_to": F.to_date("effective_to")})
+    df = spark.sql(_literal(FACTORS, ["factor_id", "value_kg_per_kwh", "effective_from", "effective_to", "source_class", "note"]))
+    return df.withColumns({"effective_from": F.to_date("effective_from"), "effective_to": F.to_date("effective_to")})
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +105,9 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.sqrt(p * p + q * q)
     worn = (F.dayofmonth("ts") % 6 == 0) & F.hour("ts").between(8, 19)
     wear = F.when(worn & (F.hour("ts") < 12), 2.5).when(worn, 2.0).otherwise(1.0)
-    first = b.select(
-        "machine_id", "ts", (e * 10 + F.when(e % 50 == 0, 35).otherwise(0)).alias("seq"),
+    arrived = e * 10 + F.when(e % 50 == 0, 35).otherwise(0)
+    return b.select(
+        "machine_id", "ts", F.explode(F.when(e % 40 == 0, F.array(arrived, e * 10 + 107)).otherwise(F.array(arrived))).alias("seq"),
         (F.lit(400.0) + F.col("k") % 30).alias("voltage_v"),
         (F.col("value") * 1.5).alias("current_a"),
         p.alias("power_kw"), q.alias("reactive_power_kvar"),
@@ -112,9 +116,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.lit(1.0) + F.pmod(F.col("cents"), F.lit(500)) / 100.0) * wear).alias("vibration_mm_s"),
         (F.lit(600.0) + F.col("k") * 10.0).alias("temperature_c"),
         "machine_state",
-        F.when(e % 10 < 7, "SIMULATED").otherwise("MEASURED").alias("source"), "event_id")
-    again = first.where(e % 40 == 0).withColumn("seq", e * 10 + 107)
-    return first.unionByName(again).drop("event_id")
+        F.when(e % 10 < 7, "SIMULATED").otherwise("MEASURED").alias("source"))
 
 
 def production(spark: SparkSession, sf_dir: str, interval_s: int) -> DataFrame:
