@@ -122,13 +122,13 @@ def capacitor_need(slices: DataFrame, below: float = 0.9, target: float = 0.95)
     m = _metered(slices).where(F.col("power_factor") < below).groupBy("machine_id").agg(
         F.avg("power_kw").alias("p_kw"), F.avg("reactive_power_kvar").alias("q_kvar"), F.count("*").alias("n"))
     need = F.greatest(F.lit(0.0), F.col("q_kvar") - F.col("p_kw") * F.tan(F.acos(F.lit(target))))
-    return m.withColumns({"need_kvar": need, "pf_low": F.col("p_kw") / F.sqrt(F.col("p_kw") * F.col("p_kw") + F.col("q_kvar") * F.col("q_kvar"))})
+    return m.withColumns({"need_kvar": need, "pf_low": F.try_divide(F.col("p_kw"), F.sqrt(F.col("p_kw") * F.col("p_kw") + F.col("q_kvar") * F.col("q_kvar")))})
 
 
 def load_type_profile(meter: DataFrame, target: float = 0.95) -> DataFrame:
     """Quarters, mean power, PF and capacitor need per load type."""
     m = meter.groupBy("load_type").agg(F.count("*").alias("n"), (F.avg("kwh") / 0.25).alias("p_kw"), (F.avg("kvarh") / 0.25).alias("q_kvar"))
-    m = m.withColumn("pf", F.col("p_kw") / F.sqrt(F.col("p_kw") * F.col("p_kw") + F.col("q_kvar") * F.col("q_kvar")))
+    m = m.withColumn("pf", F.try_divide(F.col("p_kw"), F.sqrt(F.col("p_kw") * F.col("p_kw") + F.col("q_kvar") * F.col("q_kvar"))))
     need = F.greatest(F.lit(0.0), F.col("p_kw") * (F.tan(F.acos("pf")) - F.tan(F.acos(F.lit(target)))))
     return m.withColumn("need_kvar", F.when((F.col("p_kw") > 0) & (F.col("pf") > 0) & (F.col("pf") < target), need).otherwise(0.0))
 
@@ -202,7 +202,7 @@ def non_working_light_load(meter: DataFrame) -> DataFrame:
 def meter_power_factor(meter: DataFrame, rate: float = 7.5) -> DataFrame:
     """Apparent energy per quarter, PF and the cost of billing on kVAh."""
     df = meter.agg(F.sum("kwh").alias("kwh"), F.sum(F.sqrt(F.col("kwh") * F.col("kwh") + F.col("kvarh") * F.col("kvarh"))).alias("kvah"))
-    return df.withColumns({"power_factor": F.col("kwh") / F.col("kvah"), "gap_kwh": F.col("kvah") - F.col("kwh"), "gap_inr": (F.col("kvah") - F.col("kwh")) * rate})
+    return df.withColumns({"power_factor": F.try_divide("kwh", "kvah"), "gap_kwh": F.col("kvah") - F.col("kwh"), "gap_inr": (F.col("kvah") - F.col("kwh")) * rate})
 
 
 def payback(verified: DataFrame, assumptions: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def payback(verified: DataFrame, assumptions: DataFrame) -> DataFrame:
     assumptions: intervention, scenario, hardware_inr, subscription_inr_month, rate, days, furnaces, factor.
     """
     df = verified.where(F.col("outcome") == "VERIFIED").join(assumptions, "intervention")
-    kwh_day = F.col("counterfactual_kwh") / F.col("n_post") * 24.0
+    kwh_day = F.try_divide("counterfactual_kwh", "n_post") * 24.0
     df = df.withColumn("kwh_year", kwh_day * F.col("furnaces") * F.col("days") * F.col("saving_pct") / 100.0)
     df = df.withColumn("inr_year", F.col("kwh_year") * F.col("rate"))
     net = F.col("inr_year") / 12.0 - F.col("subscription_inr_month")

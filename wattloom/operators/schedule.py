@@ -299,7 +299,7 @@ def shift_plan(templates: DataFrame, model: DataFrame, tariff: DataFrame, *, sit
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("heat_no").reset_index(drop=True)
         f = pdf.iloc[0]
-        price = w_energy + w_cost * np.asarray(f.rates, dtype=float)
+        price = w_energy + w_cost * np.resize(np.asarray(f.rates, dtype=float), n_slots)  # the day repeats
         kwh = {"heating": f.b_heat * slot_h, "holding": f.b_hold * slot_h, "melt_kg": f.b_prod}
         placed = _shift_one(price, f.b_idle * slot_h, pdf, kwh, allowed, cold_slots, reheat_slots, first_cold)
         out = [(f.plan_id, f.machine_id, f.day, i, s, int(pdf.heating_slots[i]) + r, int(pdf.melting_slots[i]), hold, float(pdf.charge_kg[i]), r)

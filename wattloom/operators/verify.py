@@ -156,10 +156,11 @@ def residual_stats(predicted: DataFrame, p: int = 4) -> DataFrame:
     w = Window.partitionBy("intervention").orderBy("window_start")
     s = base.withColumn("_l", F.lag("_e").over(w)).groupBy("intervention").agg(
         F.count("*").alias("n"), F.avg("energy_kwh").alias("_mean"), F.sum(F.col("_e") * F.col("_e")).alias("_sse"), F.sum("_e").alias("_se"),
-        F.stddev_pop("_e").alias("_sd"), F.corr("_l", "_e").alias("_rho"))
+        F.stddev_pop("_e").alias("_sd"),
+        F.try_divide(F.covar_pop("_l", "_e"), F.stddev_pop("_l") * F.stddev_pop(F.when(F.col("_l").isNotNull(), F.col("_e")))).alias("_rho"))
     dof = F.greatest(F.lit(1), F.col("n") - p)
     rho = F.when((F.col("n") < 3) | (F.col("_sd") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.coalesce("_rho", F.lit(0.0))))
-    s = s.withColumns({"cv": F.sqrt(F.col("_sse") / dof) / F.col("_mean"), "nmbe_pct": F.col("_se") / (dof * F.col("_mean")) * 100.0, "rho": rho})
+    s = s.withColumns({"cv": F.try_divide(F.sqrt(F.col("_sse") / dof), F.col("_mean")), "nmbe_pct": F.try_divide(F.col("_se"), dof * F.col("_mean")) * 100.0, "rho": rho})
     return s.select("intervention", "n", "cv", "nmbe_pct", "rho",
                     F.when(F.col("rho") < 1, F.col("n") * (F.lit(1.0) - F.col("rho")) / (F.lit(1.0) + F.col("rho"))).otherwise(1.0).alias("n_eff"))
 
@@ -227,7 +228,8 @@ def comparability_gates(design: DataFrame, tol_pct: float = C.VERIFY_PROD_TOL_PC
     post = u.where("period = 'post'").join(base.select("intervention", "_max"), "intervention").groupBy("intervention").agg(
         F.avg("good_production_kg").alias("after"), F.avg((F.col("good_production_kg") > F.col("_max") * 1.05).cast("double")).alias("extrapolated_frac"))
     df = base.join(post, "intervention")
-    shifted = (F.col("before") > 0) & (F.abs(F.col("after") - F.col("before")) / F.col("before") * 100.0 > tol_pct)
+    change = F.try_divide(F.abs(F.col("after") - F.col("before")), F.col("before")) * 100.0
+    shifted = (F.col("before") > 0) & F.coalesce(change > tol_pct, F.lit(False))
     return df.select("intervention", F.col("before").alias("production_before_kg_h"), F.col("after").alias("production_after_kg_h"), "extrapolated_frac",
                      (~(shifted | (F.col("extrapolated_frac") > max_extrapolated))).alias("comparable"))
 
@@ -255,7 +257,7 @@ def verify_savings(interventions: DataFrame, intervals: DataFrame, *, confidence
         F.when(F.col("result_class") == "SUCCESS", "VERIFIED").when(has, "NOT_VERIFIED").otherwise(F.col("result_class")).alias("outcome"),
         "n_baseline", "n_post", "baseline_complete_frac", "post_complete_frac",
         keep("counterfactual_kwh", 3).alias("counterfactual_kwh"), keep("actual_kwh", 3).alias("actual_kwh"), keep("saving_kwh", 3).alias("saving_kwh"),
-        F.when(has, py_round(s / F.col("counterfactual_kwh") * 100.0, 3)).alias("saving_pct"), keep("uncertainty_kwh", 3).alias("uncertainty_kwh"),
+        F.when(has, py_round(F.try_divide(s, F.col("counterfactual_kwh")) * 100.0, 3)).alias("saving_pct"), keep("uncertainty_kwh", 3).alias("uncertainty_kwh"),
         py_round("production_before_kg_h", 3).alias("production_before_kg_h"), py_round("production_after_kg_h", 3).alias("production_after_kg_h"))
 
 

@@ -138,9 +138,9 @@ def stored_baselines(iv: DataFrame) -> DataFrame:
     kg = F.sum(F.coalesce("good_production_kg", F.lit(0.0)))
     t = train.groupBy("machine_id", "machine_type").agg(F.sum("energy_kwh").alias("e"), hours.alias("h"), kg.alias("kg"))
     furnace = F.col("machine_type") == "furnace"
-    per_h = F.col("e") / F.col("h")
+    per_h = F.try_divide("e", "h")
     coefs = F.when(furnace, F.create_map(
-        F.lit("good_production_kg"), F.col("e") * 0.25 / F.col("kg"), F.lit("hours_heating"), per_h * 0.9,
+        F.lit("good_production_kg"), F.try_divide(F.col("e") * 0.25, F.col("kg")), F.lit("hours_heating"), per_h * 0.9,
         F.lit("hours_holding"), per_h * 0.8, F.lit("hours_idle"), per_h * 0.85)).otherwise(F.create_map(
             F.lit("hours_heating"), per_h * 0.95, F.lit("hours_melting"), per_h,
             F.lit("hours_holding"), per_h * 0.9, F.lit("hours_idle"), per_h * 0.92))
