@@ -25,6 +25,11 @@ OUTCOMES = ("VERIFIED", "NOT_VERIFIED", "NOT_COMPARABLE", "INSUFFICIENT_DATA")
 STAGES = (("APPROVED", "REJECTED"), ("APPLIED",), ("MEASURED",), OUTCOMES)
 
 
+def shown(value: Column, digits: int) -> Column:
+    """Rounded sum; the nudge keeps exact half-way values from depending on the order of addition."""
+    return F.round(value + 1e-9, digits)
+
+
 def lifecycle_fold(log: DataFrame) -> DataFrame:
     """Marks each requested status change (entity, seq, target) as legal or not.
 
@@ -251,14 +256,14 @@ def verify_savings(interventions: DataFrame, intervals: DataFrame, *, confidence
                .when((s > u) & (s > 0), "SUCCESS").when(s < -u, "WORSE").otherwise("NO_EFFECT"))
     df = df.withColumn("result_class", verdict)
     has = F.col("result_class").isin("SUCCESS", "WORSE", "NO_EFFECT")
-    keep = lambda c, d: F.when(has, py_round(c, d))
+    keep = lambda c, d: F.when(has, shown(F.col(c), d))
     return df.select(
         "intervention", "machine_id", "result_class",
         F.when(F.col("result_class") == "SUCCESS", "VERIFIED").when(has, "NOT_VERIFIED").otherwise(F.col("result_class")).alias("outcome"),
         "n_baseline", "n_post", "baseline_complete_frac", "post_complete_frac",
         keep("counterfactual_kwh", 3).alias("counterfactual_kwh"), keep("actual_kwh", 3).alias("actual_kwh"), keep("saving_kwh", 3).alias("saving_kwh"),
-        F.when(has, py_round(F.try_divide(s, F.col("counterfactual_kwh")) * 100.0, 3)).alias("saving_pct"), keep("uncertainty_kwh", 3).alias("uncertainty_kwh"),
-        py_round("production_before_kg_h", 3).alias("production_before_kg_h"), py_round("production_after_kg_h", 3).alias("production_after_kg_h"))
+        F.when(has, shown(F.try_divide(s, F.col("counterfactual_kwh")) * 100.0, 3)).alias("saving_pct"), keep("uncertainty_kwh", 3).alias("uncertainty_kwh"),
+        shown(F.col("production_before_kg_h"), 3).alias("production_before_kg_h"), shown(F.col("production_after_kg_h"), 3).alias("production_after_kg_h"))
 
 
 # -- impact -----------------------------------------------------------------------
@@ -279,8 +284,8 @@ def cost_impact(hourly: DataFrame, tariff: DataFrame, *, site_id: str, tz: str =
                   .otherwise("plant tariff").alias("tariff_label"))
     ok = F.col("_gaps") == 0
     return agg.crossJoin(label).select(
-        "intervention", F.when(ok, "OK").otherwise("UNAVAILABLE").alias("status"), F.when(ok, py_round(F.col("_cf") - F.col("_act"), 2)).alias("value_inr"),
-        F.when(ok, py_round("_cf", 2)).alias("counterfactual_cost_inr"), F.when(ok, py_round("_act", 2)).alias("actual_cost_inr"), "tariff_label")
+        "intervention", F.when(ok, "OK").otherwise("UNAVAILABLE").alias("status"), F.when(ok, shown(F.col("_cf") - F.col("_act"), 2)).alias("value_inr"),
+        F.when(ok, shown(F.col("_cf"), 2)).alias("counterfactual_cost_inr"), F.when(ok, shown(F.col("_act"), 2)).alias("actual_cost_inr"), "tariff_label")
 
 
 def select_factor(df: DataFrame, on: str, factors: DataFrame) -> DataFrame:
@@ -303,7 +308,7 @@ def select_factor(df: DataFrame, on: str, factors: DataFrame) -> DataFrame:
 def co2_impact(df: DataFrame) -> DataFrame:
     """CO2 of a saving with its factor; provisional while the factor awaits confirmation."""
     waiting = (F.col("factor_source_class") != "MEASURED") & F.lower("factor_note").contains("confirm")
-    return df.withColumns({"co2_kg": py_round(F.col("saving_kwh") * F.col("value_kg_per_kwh"), 3), "provisional": waiting})
+    return df.withColumns({"co2_kg": shown(F.col("saving_kwh") * F.col("value_kg_per_kwh"), 3), "provisional": waiting})
 
 
 def impact_gate(df: DataFrame, value_cols: list[str]) -> DataFrame:
@@ -323,7 +328,7 @@ def true_saving_pairs(energy: DataFrame, starts: DataFrame) -> DataFrame:
     e = energy.groupBy(*key).agg((total("control", "pre") - total("treated", "pre")).alias("_pre"), (total("control", "post") - total("treated", "post")).alias("true_saving_kwh"))
     per_ts = starts.groupBy(*key, "ts").agg(F.count_if(F.col("arm") == "control").alias("_c"), F.count_if(F.col("arm") == "treated").alias("_t"))
     odd = per_ts.groupBy(*key).agg(F.count_if(F.col("_c") != F.col("_t")).alias("_odd"))
-    return e.join(odd, key, "left").select(*key, F.round(F.col("true_saving_kwh") + 1e-9, 3).alias("true_saving_kwh"), (F.abs("_pre") < 1e-6).alias("pre_equal"),
+    return e.join(odd, key, "left").select(*key, shown(F.col("true_saving_kwh"), 3).alias("true_saving_kwh"), (F.abs("_pre") < 1e-6).alias("pre_equal"),
                                            (F.coalesce("_odd", F.lit(0)) == 0).alias("paired"))
 
 
