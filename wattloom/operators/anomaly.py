@@ -115,9 +115,10 @@ def all_flags(scored: DataFrame) -> DataFrame:
 
 
 def merge_flag_runs(flags: DataFrame) -> DataFrame:
-    """Numbers the runs of one rule over consecutive buckets of a machine."""
+    """Numbers the runs of one rule over consecutive buckets of a machine, and the rows in them."""
     w = Window.partitionBy("machine_id", "rule_id").orderBy("k")
-    return flags.withColumn("run_id", F.col("k") - F.row_number().over(w))
+    runs = flags.withColumn("run_id", F.col("k") - F.row_number().over(w))
+    return runs.withColumn("pos", F.row_number().over(Window.partitionBy("machine_id", "rule_id", "run_id").orderBy("k")))
 
 
 def iso(ts: Column) -> Column:
@@ -129,16 +130,17 @@ def build_events(flags: DataFrame, scored: DataFrame, end_col: str = "window_end
     rows = merge_flag_runs(flags).join(
         scored.select("machine_id", "k", "window_start", F.col(end_col).alias("_end"), "expected_kwh", "energy_kwh",
                       "deviation_pct"), ["machine_id", "k"])
-    ordered = F.sort_array(F.collect_list(F.struct("k", "evidence")))  # one run of one rule: bounded by its buckets
+    def text(pos): return F.max(F.when(F.col("pos") == pos, F.col("evidence")))
     ev = rows.groupBy("machine_id", "rule_id", "metric", "run_id").agg(
         F.min("window_start").alias("window_start"), F.max("_end").alias("window_end"),
         F.max(F.abs("score")).alias("score"), F.max((F.col("severity") == "CRITICAL").cast("int")).alias("_crit"),
         F.coalesce(F.sum("expected_kwh"), F.lit(0.0)).alias("expected_kwh"),
         F.coalesce(F.sum("energy_kwh"), F.lit(0.0)).alias("actual_kwh"),
         F.count_if(F.col("expected_kwh").isNull() | F.col("energy_kwh").isNull()).alias("_gaps"),
-        F.coalesce(F.sum("deviation_pct"), F.lit(0.0)).alias("_dev"), F.count("*").alias("n_intervals"), ordered.alias("_ev"))
+        F.coalesce(F.sum("deviation_pct"), F.lit(0.0)).alias("_dev"), F.count("*").alias("n_intervals"),
+        text(1).alias("_first"), text(2).alias("_second"))
     more = F.when(F.col("n_intervals") > 2, F.concat(F.lit(" (+"), (F.col("n_intervals") - 2).cast("string"), F.lit(" more interval(s))"))).otherwise("")
-    first_two = F.array_join(F.slice(F.transform("_ev", lambda e: e["evidence"]), 1, 2), " ")
+    first_two = F.concat_ws(" ", "_first", "_second")
     return ev.select(
         "machine_id", "window_start", "window_end", "metric", "rule_id",
         F.when(F.col("rule_id").startswith("L1_"), "L1_rule").otherwise("L2_statistical").alias("level"), "score",
