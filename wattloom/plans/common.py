@@ -60,7 +60,6 @@ class Plant:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
         self.interval_s = S.interval_seconds(spark, sf_dir)
         self.root = f"{stage_root(spark)}/wattloom-{uuid.uuid4().hex}"
@@ -153,11 +152,18 @@ def stored_baselines(iv: DataFrame) -> DataFrame:
 _PLANTS: dict[tuple[str, str], Plant] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """UTC times; on one machine also as many shuffle partitions as cores where the default stands."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+
+
 def plant(spark: SparkSession, sf_dir: str) -> Plant:
+    prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PLANTS:
         _PLANTS[key] = Plant(spark, sf_dir)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return _PLANTS[key]
 
 
