@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe, dac, hdlang, warc
+from wattloom.llm import bpe, dac, golay, hdlang, linededup, sketches, warc
 from wattloom.llm.common import new_path, staged, table
 
 #: Where the vocabulary file lies; set it to use another copy.
@@ -37,6 +37,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query("op1_document_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketches.edited_pairs(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                      sketches.as_text(F.col("sketch")).alias("fingerprint"), sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+                      sketches.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                      sketches.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+                      sketches.distinct_shingles(F.col("sketch")).alias("shingles"),
+                      sketches.containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_contained"))
+
+
+@query("op2_line_dedup", """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents),
+w AS (SELECT doc_id, i AS pos, 3 AS lines, array_to_string(line[i + 1:i + 3], chr(10)) AS content FROM l, unnest(range(len(line) - 2)) r(i)
+      UNION ALL
+      SELECT doc_id, i, 1, line[i + 1] FROM l, unnest(range(len(line))) r(i) WHERE length(line[i + 1]) - length(replace(line[i + 1], ' ', '')) >= 49),
+later AS (SELECT doc_id, pos, lines FROM w WHERE trim(replace(content, chr(10), '')) <> ''
+          QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM later, unnest(range(pos, pos + lines)) r(i) GROUP BY doc_id)
+SELECT doc_id, len(line) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN line ELSE list_transform(list_filter(range(len(line)), lambda i: NOT list_contains(gone, i)), lambda i: line[i + 1]) END, chr(10))) AS kept_sha256
+FROM l LEFT JOIN gone USING (doc_id)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = linededup.dedup(docs, lines_name="n_lines", removed_name="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op4_directly_addressable_codes")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
@@ -51,6 +79,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hdlang.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_golay_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = golay.near_duplicates(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
