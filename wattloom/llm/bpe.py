@@ -40,11 +40,16 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 def chunks_of(text: str) -> list[str]:
     """Parts of a text between white space; no token crosses white space."""
-    if ODD_SPACE.search(text):  # str.split() takes these four for white space, Unicode does not
+    if ODD_SPACE.search(text) is not None:  # str.split() takes these four for white space, Unicode does not
         return [x for x in SPACE.split(text) if x]
     return text.split()
 
 
+def folded(text: str) -> str:
+    """Lower case ahead of the cache, where it can't turn text into a special token and has no context."""
+    return text if "<|" in text or "Σ" in text else text.lower()
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -221,7 +226,7 @@ def loaded(path: str) -> tuple[WordBpe, ChunkCache]:
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    split = [chunks_of(t) for t in texts]
+    split = [chunks_of(folded(t)) for t in texts]
     ids = loaded(path)[1].fill(split).__getitem__
     return [b"".join(map(ids, s)) for s in split]
 

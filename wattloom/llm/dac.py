@@ -5,9 +5,9 @@ of every id; level k+1 holds the next chunk of those ids of level k whose contin
 is set. A rank directory (ones before every block of the bitmap) leads from an id to its
 place on the next level, so any token is read by a few lookups, without decoding a block.
 
-Files: Parquet rows, each one self-contained segment (``blob``) of whole documents or
-pieces of one, in ascending id order. Segments are bounded, so neither writer nor reader
-ever holds a partition's ids.
+Files: Parquet rows, each one self-contained segment (``blob``) of whole documents, or of
+a piece of one too long for a segment, in ascending id order. Segments are bounded, so
+neither writer nor reader ever holds a partition's ids.
 
 Defined cases: null text is empty (its document holds the end id alone); null ids come
 first; documents with one id are ordered by text; repeated rows are documents of their own.
@@ -107,33 +107,57 @@ class Dac:
 
 
 _LIBRARY: dict[str, bpe.ChunkCache] = {}
-PLAIN = bpe.regex.compile(r"[!-~À-ſ]+")
+PLAIN = bpe.regex.compile(r"[!-~À-įı-ſ]+")
+STOPS = frozenset(",.;:!?")
 
 
 def library_cache(path: str) -> bpe.ChunkCache:
-    """Chunks encoded by the tokenizers library; a word that many chunks share is encoded once."""
+    """Chunks encoded by the tokenizers library; a word that many chunks share is encoded once.
+
+    Words of plain Latin text are split here and given to the library's model as they are
+    after its normalizer and pre-tokenizer; all else goes through the whole library.
+    """
     if path not in _LIBRARY:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task
-        tok, words = Tokenizer.from_file(path), {}
+        tok = Tokenizer.from_file(path)
         tok.no_padding()
         tok.no_truncation()
-
-        def learn(parts: list[str]) -> None:
-            parts = [p for p in parts if p not in words]
-            if parts:
-                done = tok.encode(parts, is_pretokenized=True, add_special_tokens=False)
-                ids, of = np.array(done.ids, "<u4"), np.array(done.word_ids, np.int64)
-                ends = np.searchsorted(of, np.arange(len(parts) + 1))
-                words.update((p, ids[ends[i]:ends[i + 1]].tobytes()) for i, p in enumerate(parts))
+        model, letters = Tokenizer(tok.model), bpe.byte_letters()
+        words: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
+
+        def spelt(word: str) -> str:
+            return "".join([letters[b] for b in word.encode("utf-8")])
+
+        def learn(parts: set[str], by: Tokenizer, how) -> None:
+            new = [p for p in parts if p not in words]
+            words.update((p, old[p]) for p in new if p in old)
+            new = [p for p in new if p not in words]
+            if new:
+                done = by.encode([how(p) for p in new], is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(done.ids, "<u4").tobytes()
+                ends = (4 * np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
+                words.update((p, ids[i:j]) for p, i, j in zip(new, ends, ends[1:], strict=False))
+
+        def split(chunk: str) -> tuple[str, ...] | list[str]:
+            if not (chunk.isascii() or PLAIN.fullmatch(chunk)) or "<|" in chunk:
+                return ()
+            if chunk.isalpha():
+                return (chunk.lower(),)
+            if chunk[-1] in STOPS and chunk[:-1].isalpha():
+                return chunk[:-1].lower(), chunk[-1]
+            return bpe.WORDS.findall(chunk.lower())
 
         def encode(chunks: list[str]) -> list[bytes]:
-            if len(words) > bpe.CACHE:
+            if len(words) > bpe.CACHE:  # two generations, as for chunks
+                old.clear()
+                old.update(words)
                 words.clear()
-            # Splitting first is safe for plain Latin text without special tokens; the rest goes to the library whole.
-            split = [bpe.WORDS.findall(c.lower()) if PLAIN.fullmatch(c) and "<|" not in c else [c] for c in chunks]
-            learn(list({w for s in split for w in s}))
-            return [b"".join([words[w] for w in s]) for s in split]
+            parts = [split(c) for c in chunks]
+            learn({w for s in parts for w in s}, model, spelt)
+            learn({c for c, s in zip(chunks, parts, strict=True) if not s}, tok, lambda c: c)
+            return [b"".join([words[w] for w in s]) if s else words[c] for c, s in zip(chunks, parts, strict=True)]
         _LIBRARY[path] = bpe.ChunkCache(encode)
     return _LIBRARY[path]
 
@@ -142,10 +166,11 @@ def segments(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
     """Segments in ascending id order: tokens of each document, then ``end_id``.
 
     part, segment: order of the segments. ids, ordinals, lengths: the documents (or pieces)
-    within one segment; ``first`` and ``last`` tell whether the segment begins and ends a document.
+    within one segment; ``first`` and ``last`` tell whether the segment begins and ends a document;
+    ``inside``: ids before it in its part.
     """
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("n", T.LongType()),
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("n", T.LongType()), T.StructField("inside", T.LongType()),
                            T.StructField("ids", T.ArrayType(kind)), T.StructField("ordinals", T.ArrayType(T.LongType())),
                            T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("first", T.BooleanType()),
                            T.StructField("last", T.BooleanType()), T.StructField("blob", T.BinaryType())])
@@ -156,23 +181,25 @@ def segments(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
         arrow = [to_arrow_type(k) for k in kinds]
         end, cache = np.array([end_id], "<u4").tobytes(), library_cache(path)
         held: list[tuple] = []  # (id, ordinal, bytes)
-        number = ordinal = room = 0
+        number = ordinal = room = inside = 0
         begins = True
 
         def flush(last: bool) -> pa.RecordBatch:
-            nonlocal number, room, begins, held
+            nonlocal number, room, begins, held, inside
             ids = np.frombuffer(b"".join(h[2] for h in held), "<u4")
-            row = [part, number, len(ids), [h[0] for h in held], [h[1] for h in held], [len(h[2]) // 4 for h in held], begins, last, pack(ids, bits)]
-            number, room, begins, held = number + 1, 0, last, []
+            row = [part, number, len(ids), inside, [h[0] for h in held], [h[1] for h in held], [len(h[2]) // 4 for h in held], begins, last, pack(ids, bits)]
+            number, room, begins, held, inside = number + 1, 0, last, [], inside + len(ids)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, arrow, strict=True)], names=schema.names)
 
         part = 0
         for batch, texts in pieces(batches, "t"):
             part = batch.column("p")[0].as_py()
-            split = [bpe.chunks_of(t) for t in texts]
+            split = [bpe.chunks_of(bpe.folded(t)) for t in texts]
             known = cache.fill(split).__getitem__
             for doc, words in zip(batch.column("i").to_pylist(), split, strict=True):
                 ids = b"".join([*map(known, words), end])
+                if held and room + len(ids) // 4 > size:
+                    yield flush(True)
                 while ids:
                     take = min(len(ids) // 4, size - room)
                     held.append((doc, ordinal, ids[:4 * take]))
@@ -197,10 +224,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     # One row per part file: bounded by the writer's number of tasks, not by the rows.
     parts = rows.groupBy("part").agg(F.sum("n").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = rows.select("part", "segment", "n").withColumn("inside", F.coalesce(
-        F.sum("n").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = inside.join(parts, "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("start"))
-    return rows.join(starts, ["part", "segment"])
+    return rows.join(F.broadcast(parts), "part").select(*rows.columns, (F.col("before") + F.col("inside")).alias("start"))
 
 
 def combine_crc(first: int, second: int, length: int) -> int:
@@ -250,13 +274,15 @@ def documents(segments: DataFrame, id_name: str = "doc_id") -> DataFrame:
                     [pa.array([row["part"].as_py()] * n, pa.int32()), pa.array(row["ordinals"].as_py(), pa.int64()), batch.column("ids")[k].values,
                      pa.array(starts + row["start"].as_py()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(whole)], names=schema.names)
 
-    found = segments.mapInArrow(run, schema)
+    found = segments.where("first AND last").mapInArrow(run, schema)
+    pieces_ = segments.where("NOT (first AND last)").mapInArrow(run, schema)
     join = F.udf(lambda rows: _joined(rows), "long")
-    long = (found.where(~F.col("whole")).groupBy("part", "ordinal")
+    long = (pieces_.where(~F.col("whole")).groupBy("part", "ordinal")
             .agg(F.first(id_name).alias(id_name), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"),
                  F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32"))).alias("rows"))  # a document's segments
             .select(id_name, "start", "n_tokens", join("rows").alias("ids_crc32")))
-    return found.where("whole").select(id_name, "start", "n_tokens", "ids_crc32").unionByName(long)
+    whole = found.unionByName(pieces_.where("whole"))
+    return whole.select(id_name, "start", "n_tokens", "ids_crc32").unionByName(long)
 
 
 def _joined(rows: list) -> int:
