@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe, dac, golay, hdlang, linededup, sketches, warc
+from wattloom.llm import bpe, dac, decontam, golay, hdlang, linededup, pii, sketches, warc
 from wattloom.llm.common import new_path, staged, table
 
 #: Where the vocabulary file lies; set it to use another copy.
 TOKENIZER: str | None = None
+#: Secret of the surrogates; a job of its own sets one of its own.
+PII_KEY = b"wattloom-surrogates"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +92,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+@query("op8_pii_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY, count_name="n_entities")
+
+
 @query("op9_warc_chunked_records", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 g AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first FROM p),
@@ -109,5 +116,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "windows", F.col("of").alias("item_windows"))
+
+
 def oracle_statements() -> dict[str, str]:
     return {k: v.strip() for k, v in ORACLE.items()}
