@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe, dac, decontam, golay, hdlang, linededup, pii, sketches, warc
+from wattloom.llm import bpe, dac, decontam, golay, hdlang, linededup, pii, sketches, suffix, warc
 from wattloom.llm.common import new_path, staged, table
 
 #: Where the vocabulary file lies; set it to use another copy.
@@ -67,6 +67,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op3_suffix_dedup", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, pos, md5(h[2 * pos + 1:2 * pos + 800]) AS k FROM b, unnest(range(length(h) // 2 - 399)) r(pos)),
+r AS (SELECT doc_id, pos FROM p QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM r),
+c AS (SELECT doc_id, pos, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
+s AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + 400 AS hi FROM c GROUP BY ALL),
+z AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
+k AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS upto, string_agg(h[2 * before + 1:2 * lo], '' ORDER BY lo) AS kept FROM z JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(kept || h[2 * upto + 1:]) END) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove(documents(spark, sf_dir), keep_first=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_directly_addressable_codes")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
