@@ -256,18 +256,20 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(F.col(id_col).alias("i"), F.col(ids_col).alias("s")).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: (id, n_tokens, ids_sha256, decoded_sha256). No shuffle."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: (id, n_tokens, ids_sha256, decoded_sha256), optionally the ids. No shuffle."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    fields = [T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = loaded(path)[0], hashlib.sha256
         for part, texts in pieces(batches, "t"):
             coded = encode_texts(path, texts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("i"), pa.array([len(b) // 4 for b in coded], pa.int64()), pa.array([sha(b).hexdigest() for b in coded]),
-                 pa.array([sha(bpe.decode(np.frombuffer(b, "<u4")).encode("utf-8")).hexdigest() for b in coded])],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [part.column("i"), pa.array([len(b) // 4 for b in coded], pa.int64()), pa.array([sha(b).hexdigest() for b in coded], pa.string()),
+                    pa.array([sha(bpe.decode(np.frombuffer(b, "<u4")).encode("utf-8")).hexdigest() for b in coded], pa.string())]
+            if with_ids:
+                ends = np.cumsum([0, *(len(b) // 4 for b in coded)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4"))))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)

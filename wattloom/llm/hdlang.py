@@ -183,9 +183,10 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, list[float]]], id_cols:
     fields = [T.StructField(c, docs.schema[c].dataType) for c in id_cols]
     schema = T.StructType([*fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     inner = [f"c{k}" for k in range(len(id_cols))]
+    text = inner[id_cols.index(text_col)] if text_col in id_cols else "t"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "t"):
+        for part, texts in pieces(batches, text):
             v, has = _vectors(texts, dimensions, gram)
             if names:
                 cos = v @ matrix.T
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, list[float]]], id_cols:
             else:
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in inner), pa.array(lang, pa.string()), pa.array(np.round(score, 6))], names=schema.names)
-    chosen = docs.select(*(F.col(c).alias(n) for c, n in zip(id_cols, inner, strict=True)), F.col(text_col).alias("t"))
+    chosen = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(id_cols, inner, strict=True)), *([F.col(text_col).alias("t")] if text == "t" else []))
     return chosen.mapInArrow(run, schema)
 
 
