@@ -2,7 +2,8 @@
 
 An archive is a table of (archive, record, chunk, last, data): the ``data`` of a record's
 chunks, in order, are the bytes of one WARC/1.1 record, and all records of an archive in
-order are a WARC file. A payload over ``chunk_bytes`` streams as several rows; SHA-1 is
+order are a WARC file. A payload over ``chunk_bytes`` streams as several rows
+(the first also holds the header); SHA-1 is
 carried from piece to piece, so neither writer nor reader builds a whole record.
 
 Of records with equal payloads (length and SHA-1) of at least ``least`` bytes, that with
@@ -105,12 +106,13 @@ def records(pages: DataFrame, planned: DataFrame, id_col: str = "page_id", paylo
                 name = "null" if m["i"] is None else str(m["i"])
                 refers = None if m["k"] == "response" else "null" if m["r"] is None else str(m["r"])
                 buffer, chunk = bytearray(header(name, m["k"], clean, m["d"], m["n"], refers)), 0
+                room = len(buffer) + chunk_bytes  # the header is never cut
                 for data in stream(text) if m["k"] == "response" else ():
                     buffer += data
-                    while len(buffer) > chunk_bytes:
-                        rows.append((m["p"], number, chunk, False, bytes(buffer[:chunk_bytes])))
-                        del buffer[:chunk_bytes]
-                        chunk, held = chunk + 1, held + chunk_bytes
+                    while len(buffer) > room:
+                        rows.append((m["p"], number, chunk, False, bytes(buffer[:room])))
+                        del buffer[:room]
+                        chunk, held, room = chunk + 1, held + room, chunk_bytes
                         if held > 4_000_000:
                             yield flush()
                 rows.append((m["p"], number, chunk, True, bytes(buffer + b"\r\n\r\n")))
