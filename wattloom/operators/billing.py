@@ -148,18 +148,28 @@ def max_demand(slices: DataFrame, buckets: int = 6) -> DataFrame:
         "site_id", F.col("_m.mean_kva").alias("max_demand_kva"), F.col("_m.at").alias("ends_at"))
 
 
-def scrap_energy(slices: DataFrame, production: DataFrame, machine_id: str, last: int = 24) -> DataFrame:
-    """Furnace energy of the day that went into rejected output (newest records)."""
-    p = production.where(F.col("machine_id") == machine_id).orderBy(F.col("window_start").desc()).limit(last).agg(
+def same_day(slices: DataFrame, production: DataFrame, machine_id: str, hours: int = 24) -> DataFrame:
+    """A machine's records that begin in the hours its slices cover (up to its newest reading).
+
+    The published pages take the newest 24 records, which is the same where records are hourly.
+    """
+    to = slices.where(F.col("machine_id") == machine_id).agg(F.max("ts").alias("_to"))  # one row
+    rows = production.where(F.col("machine_id") == machine_id).crossJoin(to)
+    return rows.where((F.col("window_start") >= F.col("_to") - F.expr(f"interval {hours} hours")) & (F.col("window_start") < F.col("_to"))).drop("_to")
+
+
+def scrap_energy(slices: DataFrame, production: DataFrame, machine_id: str) -> DataFrame:
+    """Furnace energy of the day that went into that day's rejected output."""
+    p = same_day(slices, production, machine_id).agg(
         F.sum("qty_total_kg").alias("total_kg"), F.sum("qty_rejected_kg").alias("rejected_kg"), F.sum("qty_good_kg").alias("good_kg"))
     e = slices.where(F.col("machine_id") == machine_id).agg(F.coalesce(F.sum("dkwh"), F.lit(0.0)).alias("kwh"))
     share = F.when(F.col("total_kg") > 0, F.col("rejected_kg") / F.col("total_kg"))
     return e.crossJoin(p).withColumn("reject_share", share).withColumn("scrap_kwh", F.col("kwh") * F.col("reject_share"))
 
 
-def carbon_per_tonne(slices: DataFrame, production: DataFrame, factors: DataFrame, machine_id: str, last: int = 24) -> DataFrame:
-    """Plant electricity x the newest factor over good tonnes."""
-    p = production.where(F.col("machine_id") == machine_id).orderBy(F.col("window_start").desc()).limit(last).agg((F.sum("qty_good_kg") / 1000.0).alias("good_t"))
+def carbon_per_tonne(slices: DataFrame, production: DataFrame, factors: DataFrame, machine_id: str) -> DataFrame:
+    """Plant electricity of the day x the newest factor over that day's good tonnes."""
+    p = same_day(slices, production, machine_id).agg((F.sum("qty_good_kg") / 1000.0).alias("good_t"))
     f = factors.agg(F.max_by(F.struct("factor_id", "value_kg_per_kwh"), "effective_from").alias("_f"))
     e = slices.agg(F.coalesce(F.sum("dkwh"), F.lit(0.0)).alias("electricity_kwh"))
     df = e.crossJoin(p).crossJoin(f).withColumn("tco2", F.col("electricity_kwh") * F.col("_f.value_kg_per_kwh") / 1000.0)
@@ -205,13 +215,15 @@ def meter_power_factor(meter: DataFrame, rate: float = 7.5) -> DataFrame:
     return df.withColumns({"power_factor": F.try_divide("kwh", "kvah"), "gap_kwh": F.col("kvah") - F.col("kwh"), "gap_inr": (F.col("kvah") - F.col("kwh")) * rate})
 
 
-def payback(verified: DataFrame, assumptions: DataFrame) -> DataFrame:
+def payback(verified: DataFrame, assumptions: DataFrame, interval_s: int = C.ENERGY_INTERVAL_S) -> DataFrame:
     """Yearly energy, money and CO2 and months to pay back, per verified change and assumption row.
 
+    ``n_post`` counts intervals of ``interval_s`` seconds.
+
     assumptions: intervention, scenario, hardware_inr, subscription_inr_month, rate, days, furnaces, factor.
     """
     df = verified.where(F.col("outcome") == "VERIFIED").join(assumptions, "intervention")
-    kwh_day = F.try_divide("counterfactual_kwh", "n_post") * 24.0
+    kwh_day = F.try_divide("counterfactual_kwh", "n_post") * (86400.0 / interval_s)
     df = df.withColumn("kwh_year", kwh_day * F.col("furnaces") * F.col("days") * F.col("saving_pct") / 100.0)
     df = df.withColumn("inr_year", F.col("kwh_year") * F.col("rate"))
     net = F.col("inr_year") / 12.0 - F.col("subscription_inr_month")

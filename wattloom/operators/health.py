@@ -126,6 +126,6 @@ def latest_health(rows: DataFrame) -> DataFrame:
 
 
 def model_coverage(reference: DataFrame) -> DataFrame:
-    """Machines that have a reference, per model (a set of machine ids, one row per model)."""
-    return reference.groupBy("model_id").agg(F.count_distinct("machine_id").alias("n_machines"),
-                                             F.array_sort(F.collect_set("machine_id")).alias("machines"))
+    """Machines that have a reference, per model: how many, the first and the last."""
+    return reference.groupBy("model_id").agg(F.count_distinct("machine_id").alias("n_machines"), F.min("machine_id").alias("first_machine"),
+                                             F.max("machine_id").alias("last_machine"))

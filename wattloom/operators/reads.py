@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.columns import local_time, minute_of_day
 from wattloom.operators.baseline import FURNACE_FEATURES
 
 
 def recent(df: DataFrame, ts: str, *, machine_id: str | None = None, start: str | None = None, end: str | None = None,
-           limit: int = 500) -> DataFrame:
+           limit: int = 1000) -> DataFrame:
     """Newest rows first, time bounds inclusive on both ends; a distributed top-k."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
     if machine_id is not None:
         df = df.where(F.col("machine_id") == machine_id)
     if start is not None:
         df = df.where(F.col(ts) >= F.lit(start).cast("timestamp"))
     if end is not None:
         df = df.where(F.col(ts) <= F.lit(end).cast("timestamp"))
-    return df.orderBy(F.col(ts).desc(), "machine_id").limit(min(limit, 10000))
+    return df.orderBy(F.col(ts).desc(), "machine_id").limit(limit)
 
 
 def latest_per_machine(df: DataFrame, ts: str) -> DataFrame:
@@ -54,6 +57,15 @@ def tariff_in_force(tariff: DataFrame, on: str) -> DataFrame:
     return valid.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
 
 
+def priced_by_period(tel: DataFrame, periods: DataFrame, site_id: str, tz: str) -> DataFrame:
+    """A site's periods in force with the readings that fall into them (by local minute): how many, and their mean power."""
+    start, end = F.col("start_min"), F.when(F.col("end_min") > F.col("start_min"), F.col("end_min")).otherwise(F.col("end_min") + 1440)
+    minutes = periods.where(F.col("site_id") == site_id).withColumn("minute", F.explode(F.transform(F.sequence(start, end - 1), lambda m: m % 1440)))
+    at = tel.select(minute_of_day(local_time("ts", tz)).alias("minute"), "power_kw").groupBy("minute").agg(F.count("*").alias("n"), F.sum("power_kw").alias("kw"), F.count("power_kw").alias("m"))
+    per = ["site_id", "period_name", "start_min", "end_min", "energy_inr_per_kwh"]
+    return minutes.join(at, "minute", "left").groupBy(*per).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("kw"), F.sum("m")).alias("mean_kw"))
+
+
 def tariff_label(tariff: DataFrame) -> DataFrame:
     agg = tariff.agg(F.count("*").alias("n"), F.count_if(F.col("source_class") != "ASSUMPTION").alias("real"))
     return agg.select(F.when(F.col("n") == 0, "absent").when(F.col("real") == 0, "ILLUSTRATIVE (ASSUMPTION)").otherwise("plant tariff").alias("tariff_label"))

@@ -3,7 +3,7 @@
 from wattloom.plans.common import fragment
 
 fragment("f_params", """
-SELECT CASE WHEN count(*) < 5000 THEN 86400 WHEN count(*) < 50000 THEN 14400 ELSE 3600 END::BIGINT AS isec FROM events
+SELECT 14400::BIGINT AS isec
 """)
 fragment("f_machine", """
 SELECT * FROM (VALUES ('furnace-01','site-1','Induction Furnace 1','furnace',200.0::DOUBLE),

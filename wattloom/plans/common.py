@@ -47,7 +47,7 @@ def stage_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":  # not local-cluster
         return tempfile.mkdtemp(prefix="wattloom-stages-")
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
@@ -61,7 +61,7 @@ class Plant:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.interval_s = S.interval_seconds(spark, sf_dir)
+        self.interval_s = S.INTERVAL_S
         self.root = f"{stage_root(spark)}/wattloom-{uuid.uuid4().hex}"
         self._stages: dict[str, DataFrame] = {}
         self.marks: set[str] = set()  # streams that already ran to their end

@@ -144,7 +144,9 @@ def _(p):
     return B.max_demand(slices(p).join(p.machines.select("machine_id", "site_id"), "machine_id"))
 
 
-fragment("f_last24", "SELECT * FROM f_prod ORDER BY window_start DESC LIMIT 24")
+fragment("f_last24", """
+SELECT * FROM f_prod, (SELECT max(ts) AS upto FROM f_slice WHERE machine_id = 'furnace-01') WHERE window_start >= upto - INTERVAL 24 HOUR AND window_start < upto
+""")
 
 
 @query("scrap_energy", """
@@ -241,7 +243,7 @@ SELECT 'iv-furnace-01-' || (8 + c_custkey % 19) AS intervention, c_custkey AS sc
 """)
 fragment("f_paid", """
 SELECT *, ky * rate AS iy, CASE WHEN ky * rate / 12 - subscription_inr_month > 0 THEN hardware_inr / (ky * rate / 12 - subscription_inr_month) END AS months FROM (
- SELECT a.*, round(saving / cf * 100 + 1e-9, 3) AS saving_pct, round(cf + 1e-9, 3) / n_post * 24 * furnaces * days * round(saving / cf * 100 + 1e-9, 3) / 100 AS ky FROM f_verd JOIN f_assume a USING (intervention) WHERE outcome = 'VERIFIED')
+ SELECT a.*, round(saving / cf * 100 + 1e-9, 3) AS saving_pct, round(cf + 1e-9, 3) / n_post * (86400.0::DOUBLE / 14400) * furnaces * days * round(saving / cf * 100 + 1e-9, 3) / 100 AS ky FROM f_verd JOIN f_assume a USING (intervention) WHERE outcome = 'VERIFIED')
 """)
 
 
@@ -255,7 +257,7 @@ def assumptions(p):
 
 
 def paid(p):
-    return B.payback(QD.verdicts(p), assumptions(p))
+    return B.payback(QD.verdicts(p), assumptions(p), p.interval_s)
 
 
 @query("payback", """

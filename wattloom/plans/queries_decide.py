@@ -97,7 +97,12 @@ _REC_SQL = ("SELECT machine_id, rule_id, window_start, window_end, severity, con
 
 
 def recommendations(p):
-    return p.stage("recommendations", lambda: R.generate_recommendations(p.events(), QH.insights(p), QH.findings(p), run_table(p)))
+    return p.stage("recommendations", lambda: R.mark_conflicts(candidates(p)))
+
+
+def candidates(p):
+    """One row per key, written once: the search for conflicts reads it six times."""
+    return p.stage("candidates", lambda: R.one_per_key(R.candidates(p.events(), QH.insights(p), QH.findings(p), run_table(p))))
 
 
 def run_table(p):
@@ -146,8 +151,7 @@ def _(p):
 
 @query("mark_conflicts", "SELECT dedup_key, status, conflict_with FROM f_recsx WHERE status = 'CONFLICT'")
 def _(p):
-    return R.mark_conflicts(R.one_per_key(R.candidates(p.events(), QH.insights(p), QH.findings(p), run_table(p)))).where(
-        "status = 'CONFLICT'").select("dedup_key", "status", "conflict_with")
+    return R.mark_conflicts(candidates(p)).where("status = 'CONFLICT'").select("dedup_key", "status", "conflict_with")
 
 
 @query("check_run_comparability", "SELECT run_id, comparable, creason AS comparability_reason FROM f_runc")

@@ -10,9 +10,13 @@ from wattloom.plans.common import S, query
 _HOURS = ", ".join(f"hours_{s}" for s in ("heating", "melting", "holding", "idle", "unknown"))
 
 
-@query("interval_grid", "SELECT machine_id, k, window_start, window_end FROM f_grid")
+@query("interval_grid", """
+SELECT machine_id, k, window_start, window_end, coalesce(n, 0) AS n_readings FROM f_grid LEFT JOIN (SELECT machine_id, k, count(*) AS n FROM f_bucketed GROUP BY 1, 2) USING (machine_id, k)
+""")
 def _(p):
-    return intervals.interval_grid(p.machines, S.START, S.END, p.interval_s).select("machine_id", "k", "window_start", "window_end")
+    n = intervals.in_window(p.telemetry(), "ts", S.START, S.END, p.interval_s).groupBy("machine_id", "k").agg(F.count("*").alias("n"))
+    grid = intervals.interval_grid(p.machines, S.START, S.END, p.interval_s).join(n, ["machine_id", "k"], "left")
+    return grid.select("machine_id", "k", "window_start", "window_end", F.coalesce("n", F.lit(0)).alias("n_readings"))
 
 
 @query("bucket_index", """

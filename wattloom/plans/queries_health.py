@@ -224,7 +224,20 @@ def _(p):
     return health_rows(p).select("machine_id", "window_start", "bucket", "health_score", "anomaly_score", "state", "status")
 
 
-@query("health_reason")
+@query("health_reason", """
+SELECT h.machine_id, h.window_start, h.status, CASE WHEN h.status = 'INSUFFICIENT_HISTORY' THEN 'reference has ' || coalesce(n.n_intervals, 0) || ' interval(s), need >= 24'
+ WHEN NOT v.complete THEN 'incomplete interval (telemetry coverage below minimum)' WHEN b.known IS NULL THEN 'state bucket ''' || h.bucket || ''' not seen in reference'
+ WHEN h.status = 'OUT_OF_DOMAIN' THEN 'state bucket ''' || h.bucket || ''' reference too thin'
+ WHEN v.vibration_mm_s IS NULL AND v.temperature_c IS NULL AND v.current_a IS NULL THEN 'no health signals present in interval (vibration/temperature/current all null)'
+ WHEN h.state = 'NORMAL' THEN 'max |z| ' || printf('%.1f', round_even(h.anomaly_score, 1)) || ' (' || c.s1 || ') within NORMAL range for ''' || h.bucket || ''' reference'
+ ELSE h.state || ': ' || c.bits || ' vs ''' || h.bucket || ''' reference (health ' || printf('%.0f', round_even(h.health_score, 0)) || '/100)' END AS reason
+FROM f_health h JOIN f_hiv v ON v.machine_id = h.machine_id AND v.k = h.k
+LEFT JOIN (SELECT DISTINCT machine_id, bucket, TRUE AS known FROM f_href) b ON b.machine_id = h.machine_id AND b.bucket = h.bucket
+LEFT JOIN (SELECT DISTINCT machine_id, n_intervals FROM f_href) n ON n.machine_id = h.machine_id
+LEFT JOIN (SELECT machine_id, k, any_value(signal) FILTER (rank = 1) AS s1,
+  string_agg(signal || ' z ' || printf('%+.1f', round_even(z, 1)) || CASE WHEN pct_change IS NULL THEN '' ELSE ' (' || printf('%+.1f', pct_change) || '%)' END, ', ' ORDER BY rank) FILTER (rank <= 2) AS bits
+ FROM f_contrib GROUP BY 1, 2) c ON c.machine_id = h.machine_id AND c.k = h.k
+""")
 def _(p):
     return health_rows(p).select("machine_id", "window_start", "status", "reason")
 
@@ -253,7 +266,7 @@ def _(p):
 
 
 @query("model_coverage", """
-SELECT 'statistical-v1' AS model_id, count(DISTINCT machine_id) AS n_machines, array_to_string(list_sort(list(DISTINCT machine_id)), '; ') AS machines FROM f_href
+SELECT 'statistical-v1' AS model_id, count(DISTINCT machine_id) AS n_machines, min(machine_id) AS first_machine, max(machine_id) AS last_machine FROM f_href
 """)
 def _(p):
     return health.model_coverage(health_reference(p).withColumn("model_id", F.lit("statistical-v1")))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wattloom import config as C
 from wattloom.operators import ingest, intervals, reads
 from wattloom.plans import queries_health as QH
 from wattloom.plans.common import S, fragment, query
@@ -225,7 +226,7 @@ def _(p):
 SELECT 'ingest' AS action, 'telemetry' AS entity, '{"accepted":' || count(*) FILTER (quality = 'GOOD') || ',"suspect":' || count(*) FILTER (quality = 'SUSPECT')
  || ',"bad":' || count(*) FILTER (quality = 'BAD') || ',"duplicate":' || any_value(d) || '}' AS detail
 FROM f_tel, (SELECT (SELECT count(*) FROM f_readings) - (SELECT count(*) FROM f_unique) AS d)
-UNION ALL SELECT 'backfill', 'telemetry', '{"machine_ids":["compressor-01","furnace-01","pump-01"],"row_count":' || count(*) || '}' FROM f_readings
+UNION ALL SELECT 'backfill', 'telemetry', '{"n_machines":' || count(DISTINCT machine_id) || ',"first_machine":"' || min(machine_id) || '","last_machine":"' || max(machine_id) || '","row_count":' || count(*) || '}' FROM f_readings
 """)
 def _(p):
     return store.audit_ingest(p.telemetry(), ingest.duplicate_count(p.readings()), p.readings())
@@ -233,7 +234,7 @@ def _(p):
 
 # -- reads -----------------------------------------------------------------------
 @query("recent_telemetry", """
-SELECT machine_id, ts, round(power_kw, 4) AS power_kw, quality FROM f_tel WHERE machine_id = 'furnace-01' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC LIMIT 500
+SELECT machine_id, ts, round(power_kw, 4) AS power_kw, quality FROM f_tel WHERE machine_id = 'furnace-01' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC LIMIT 1000
 """)
 def _(p):
     return reads.recent(p.telemetry(), "ts", machine_id="furnace-01", start="2024-01-10", end="2024-01-20").select("machine_id", "ts", "power_kw", "quality")
@@ -280,13 +281,15 @@ def _(p):
 
 
 @query("tariff_in_force", """
-SELECT period_name, start_min, end_min, rate AS energy_inr_per_kwh, n FROM (SELECT *, rank() OVER (PARTITION BY site_id ORDER BY valid_from DESC) AS r FROM f_tariff
- WHERE valid_from <= (SELECT max(CAST(ts AS DATE)) FROM f_tel)), (SELECT count(*) AS n FROM f_tel) WHERE r = 1
+SELECT period_name, start_min, end_min, rate AS energy_inr_per_kwh, count(ts) AS n, round(avg(power_kw), 4) AS mean_kw FROM (
+ SELECT *, rank() OVER (PARTITION BY site_id ORDER BY valid_from DESC) AS r FROM f_tariff WHERE valid_from <= (SELECT max(CAST(ts AS DATE)) FROM f_tel)) f
+LEFT JOIN (SELECT ts, power_kw, hour(ts + INTERVAL 330 MINUTE) * 60 + minute(ts + INTERVAL 330 MINUTE) AS lm FROM f_tel) t
+ ON CASE WHEN start_min < end_min THEN lm >= start_min AND lm < end_min ELSE lm >= start_min OR lm < end_min END
+WHERE r = 1 GROUP BY 1, 2, 3, 4
 """)
 def _(p):
-    n = p.telemetry().agg(F.count("*").alias("n"))
-    on = "2024-01-30"
-    return reads.tariff_in_force(p.tariff, on).crossJoin(n).select("period_name", "start_min", "end_min", "energy_inr_per_kwh", "n")
+    on = p.telemetry().agg(F.max("ts").cast("date").cast("string")).first()[0]
+    return reads.priced_by_period(p.telemetry(), reads.tariff_in_force(p.tariff, on), S.SITE, C.LOCAL_TZ).drop("site_id")
 
 
 @query("tariff_label", """

@@ -56,11 +56,11 @@ def audit_ingest(validated: DataFrame, duplicates: DataFrame, received: DataFram
     c = validated.agg(F.count_if(q == "GOOD").alias("accepted"), F.count_if(q == "SUSPECT").alias("suspect"), F.count_if(q == "BAD").alias("bad"))
     d = duplicates.agg(F.sum("duplicate").alias("duplicate"))
     r = received.agg(F.count("*").alias("row_count"), F.min("ts").alias("start"), F.max("ts").alias("end"),
-                     F.array_sort(F.collect_set("machine_id")).alias("machine_ids"))
+                     F.count_distinct("machine_id").alias("n_machines"), F.min("machine_id").alias("first_machine"), F.max("machine_id").alias("last_machine"))
     ingest = c.crossJoin(d).select(F.lit("ingest").alias("action"), F.lit("telemetry").alias("entity"),
                                    F.to_json(F.struct("accepted", "suspect", "bad", "duplicate")).alias("detail"))
     backfill = r.select(F.lit("backfill").alias("action"), F.lit("telemetry").alias("entity"),
-                        F.to_json(F.struct("machine_ids", "row_count")).alias("detail"))
+                        F.to_json(F.struct("n_machines", "first_machine", "last_machine", "row_count")).alias("detail"))
     return ingest.unionByName(backfill)
 
 
