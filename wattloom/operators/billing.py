@@ -43,6 +43,12 @@ def avg_rate(tariff: DataFrame) -> DataFrame:
     return tariff.groupBy("site_id").agg((F.sum(F.col("energy_inr_per_kwh") * (end - F.col("start_min")) / 60.0) / 24.0).alias("avg_rate"))
 
 
+def weighted_rate(priced: DataFrame) -> DataFrame:
+    """Mean rate that a machine's energy was priced at, weighted by that energy."""
+    known = priced.where(F.col("dkwh").isNotNull() & F.col("rate").isNotNull())
+    return known.groupBy("machine_id").agg(F.try_divide(F.sum(F.col("dkwh") * F.col("rate")), F.sum("dkwh")).alias("avg_rate"), F.count("*").alias("n"))
+
+
 def heat_slices(priced: DataFrame) -> DataFrame:
     """Slices that belong to a heat, with ``heat_id``.
 

@@ -67,8 +67,9 @@ def priced_by_period(tel: DataFrame, periods: DataFrame, site_id: str, tz: str)
 
 
 def tariff_label(tariff: DataFrame) -> DataFrame:
-    agg = tariff.agg(F.count("*").alias("n"), F.count_if(F.col("source_class") != "ASSUMPTION").alias("real"))
-    return agg.select(F.when(F.col("n") == 0, "absent").when(F.col("real") == 0, "ILLUSTRATIVE (ASSUMPTION)").otherwise("plant tariff").alias("tariff_label"))
+    """Per site with periods: is its tariff the plant's own, or an assumption throughout?"""
+    agg = tariff.groupBy("site_id").agg(F.count("*").alias("n"), F.count_if(F.col("source_class") != "ASSUMPTION").alias("real"))
+    return agg.select("site_id", F.when(F.col("n") == 0, "absent").when(F.col("real") == 0, "ILLUSTRATIVE (ASSUMPTION)").otherwise("plant tariff").alias("tariff_label"))
 
 
 def acceptable_baseline(baselines: DataFrame) -> DataFrame:

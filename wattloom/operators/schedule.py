@@ -105,7 +105,7 @@ def tariff_minutes(tariff: DataFrame) -> DataFrame:
 
 def evaluate_schedule(slots: DataFrame, heats: DataFrame, model: DataFrame, powers: DataFrame, tariff: DataFrame, *,
                       site_id: str, interval_s: int, slot_min: int = C.OPT_SLOT_MIN) -> DataFrame:
-    """Energy, peak, cost and breakdown per plan. Cost is null where a slot has no price."""
+    """Energy, peak, cost and breakdown per plan. Cost is null where a slot has no price; peak and cost are null where a state has no known power."""
     slot_h = slot_min / 60.0
     c = lambda f: F.col("coefficients")[f]
     m = model.select("machine_id", c("good_production_kg").alias("b_prod"), c("hours_heating").alias("b_heat"),
@@ -120,9 +120,9 @@ def evaluate_schedule(slots: DataFrame, heats: DataFrame, model: DataFrame, powe
     state_kwh = (F.when(st == "heating", F.col("b_heat")).when(st == "holding", F.col("b_hold")).when(st == "melting", 0.0)
                  .otherwise(F.col("b_idle"))) * slot_h
     df = df.withColumns({"slot_kwh": per_slot + F.col("aux_kw") * slot_h + melt + state_kwh,
-                         "slot_kw": F.coalesce("state_kw", F.lit(0.0)) + F.col("aux_kw")})
+                         "slot_kw": F.col("state_kw") + F.col("aux_kw")})
     agg = df.groupBy(*PLAN).agg(
-        F.sum("slot_kwh").alias("energy_kwh"), F.max("slot_kw").alias("peak_kw"),
+        F.sum("slot_kwh").alias("energy_kwh"), F.when(F.count_if(F.col("slot_kw").isNull()) == 0, F.max("slot_kw")).alias("peak_kw"),
         F.sum(F.col("slot_kwh") * F.col("rate")).alias("_cost"), F.count_if(F.col("rate").isNull()).alias("_unpriced"),
         F.count_if(st == "heating").alias("_n_heating"), F.sum(melt).alias("melting_kwh"),
         F.sum(F.when(st == "holding", state_kwh).otherwise(0.0)).alias("holding_kwh"),
@@ -311,6 +311,15 @@ def shift_plan(templates: DataFrame, model: DataFrame, tariff: DataFrame, *, sit
                "holding_slots int, charge_kg double, reheat_slots int")
 
 
+def shift_status(plans: DataFrame, wanted: DataFrame, shifted: DataFrame) -> DataFrame:
+    """One row per plan: SHIFTED, EMPTY (it has no heat), or INFEASIBLE where its heats could not all be placed."""
+    want = wanted.groupBy("plan_id").agg(F.count("*").alias("n_heats"))
+    got = shifted.groupBy("plan_id").agg(F.count("*").alias("n_placed"))
+    df = plans.select("plan_id").join(want, "plan_id", "left").join(got, "plan_id", "left").na.fill(0, ["n_heats", "n_placed"])
+    status = F.when(F.col("n_placed") < F.col("n_heats"), "INFEASIBLE").when(F.col("n_heats") == 0, "EMPTY").otherwise("SHIFTED")
+    return df.select("plan_id", status.alias("status"), "n_heats", "n_placed")
+
+
 def plan_inputs_hash(constraints: DataFrame) -> DataFrame:
     """Stable hash of a plan's inputs (columns in name order)."""
     cols = sorted(c for c in constraints.columns if c != "plan_id")

@@ -71,12 +71,10 @@ def _(p):
 
 
 @query("avg_rate", """
-SELECT machine_id, round(avg_rate, 4) AS avg_rate, n FROM (SELECT sum(rate * (CASE WHEN end_min = 0 THEN 1440 ELSE end_min END - start_min) / 60.0) / 24 AS avg_rate FROM f_tariff WHERE valid_from = DATE '2024-01-01'),
- (SELECT machine_id, count(*) AS n FROM f_slice GROUP BY 1)
+SELECT machine_id, round(sum(dkwh * rate) / nullif(sum(dkwh), 0), 4) AS avg_rate, count(*) AS n FROM f_priced WHERE dkwh IS NOT NULL AND rate IS NOT NULL GROUP BY 1
 """)
 def _(p):
-    n = slices(p).groupBy("machine_id").agg(F.count("*").alias("n"))
-    return n.join(p.machines, "machine_id").join(B.avg_rate(QS.in_force(p)), "site_id").select("machine_id", "avg_rate", "n")
+    return B.weighted_rate(priced(p))
 
 
 @query("heat_sessions", """

@@ -71,12 +71,12 @@ def _eval_sql(slots, heats):
 SELECT *, (n_heating - rh) * bh * 0.25::DOUBLE AS heating_kwh, rh * bh * 0.25::DOUBLE AS reheat_kwh FROM (
 SELECT s.plan_id, s.machine_id, s.day, energy_kwh, peak_kw, CASE WHEN unpriced = 0 THEN cost END AS cost_inr, coalesce(production_kg, 0) AS production_kg,
  coalesce(n_heats, 0) AS n_heats, melting_kwh, holding_kwh, idle_kwh, intercept_kwh, aux_kwh, n_heating, bh, least(coalesce(reheat, 0), n_heating) AS rh FROM (
- SELECT plan_id, machine_id, day, sum(e) AS energy_kwh, max(kw) AS peak_kw, sum(e * rate) AS cost, count(*) FILTER (rate IS NULL) AS unpriced,
+ SELECT plan_id, machine_id, day, sum(e) AS energy_kwh, CASE WHEN count(*) = count(kw) THEN max(kw) END AS peak_kw, sum(e * rate) AS cost, count(*) FILTER (rate IS NULL) AS unpriced,
   count(*) FILTER (state = 'heating') AS n_heating, sum(melt) AS melting_kwh, sum(CASE WHEN state = 'holding' THEN st ELSE 0 END) AS holding_kwh,
   sum(CASE WHEN state = 'idle' THEN st ELSE 0 END) AS idle_kwh, sum(ic) AS intercept_kwh, sum(aux_kw * 0.25::DOUBLE) AS aux_kwh, any_value(b_heating) AS bh FROM (
   SELECT x.*, rate, b_heating, b_prod * melt_kg AS melt, intercept * (0.25::DOUBLE / (isec / 3600.0::DOUBLE)) AS ic,
    CASE x.state WHEN 'heating' THEN b_heating WHEN 'holding' THEN b_holding WHEN 'melting' THEN 0 ELSE b_idle END * 0.25::DOUBLE AS st,
-   ic + aux_kw * 0.25::DOUBLE + melt + st AS e, coalesce(median_kw, 0) + aux_kw AS kw
+   ic + aux_kw * 0.25::DOUBLE + melt + st AS e, median_kw + aux_kw AS kw
   FROM {slots} x JOIN f_bl b ON b.machine_id = x.machine_id AND b.machine_type = 'furnace' LEFT JOIN f_med d ON d.machine_id = x.machine_id AND d.state = x.state
   LEFT JOIN f_min m ON m.minute = x.slot * 15 CROSS JOIN f_params) GROUP BY 1, 2, 3) s
  LEFT JOIN (SELECT plan_id, sum(charge_kg) AS production_kg, count(*) AS n_heats, sum(reheat_slots) AS reheat FROM {heats} GROUP BY 1) USING (plan_id))
@@ -296,15 +296,27 @@ def _(p):
     return K.shift_plan(templates(p), model(p), in_force(p), site_id=S.SITE).select(*_HEAT_COLS, "reheat_slots")
 
 
+@query("shift_status", """
+SELECT plan_id, CASE WHEN n > 0 THEN 'SHIFTED' ELSE 'EMPTY' END AS status, n AS n_heats, n AS n_placed FROM (
+ SELECT x.plan_id, coalesce(c, 0) AS n FROM (SELECT DISTINCT plan_id FROM f_slotcur WHERE machine_id IN (SELECT machine_id FROM f_bl WHERE machine_type = 'furnace')) x LEFT JOIN (SELECT plan_id, count(*) AS c FROM f_heat GROUP BY 1) h ON h.plan_id = x.plan_id)
+""")
+def _(p):
+    shifted = p.stage("plan_shifted", lambda: K.shift_plan(templates(p), model(p), in_force(p), site_id=S.SITE))
+    modelled = plans(p).join(model(p).select("machine_id"), "machine_id", "left_semi")
+    return K.shift_status(modelled, heats(p), shifted)
+
+
 @query("shift_plan_evaluated")
 def _(p):
     shifted = p.stage("plan_shifted", lambda: K.shift_plan(templates(p), model(p), in_force(p), site_id=S.SITE))
-    no_aux = aux(p).where(F.lit(False))
     def priced(h):
-        return K.evaluate_schedule(K.schedule_slots(plans(p), h, no_aux), h, model(p), powers(p), in_force(p), site_id=S.SITE, interval_s=p.interval_s)
+        return K.evaluate_schedule(K.schedule_slots(plans(p), h, aux(p)), h, model(p), powers(p), in_force(p), site_id=S.SITE, interval_s=p.interval_s)
     cur, rec = priced(heats(p)), priced(shifted)
-    return cur.select("plan_id", F.col("energy_kwh").alias("current_kwh"), F.col("cost_inr").alias("current_inr")).join(
-        rec.select("plan_id", F.col("energy_kwh").alias("shifted_kwh"), F.col("cost_inr").alias("shifted_inr")), "plan_id")
+    status = K.shift_status(plans(p), heats(p), shifted)
+    out = cur.select("plan_id", F.col("energy_kwh").alias("current_kwh"), F.col("cost_inr").alias("current_inr")).join(
+        rec.select("plan_id", F.col("energy_kwh").alias("kwh"), F.col("cost_inr").alias("inr")), "plan_id").join(status, "plan_id")
+    found = F.col("status") != "INFEASIBLE"  # an unplaced plan is not the cheap idle day
+    return out.select("plan_id", "status", "current_kwh", "current_inr", F.when(found, F.col("kwh")).alias("shifted_kwh"), F.when(found, F.col("inr")).alias("shifted_inr"))
 
 
 @query("plan_inputs_hash")

@@ -293,12 +293,16 @@ def _(p):
 
 
 @query("tariff_label", """
-SELECT site_id, CASE WHEN count(*) FILTER (source_class <> 'ASSUMPTION') = 0 THEN 'ILLUSTRATIVE (ASSUMPTION)' ELSE 'plant tariff' END AS tariff_label,
- (SELECT count(*) FROM f_tel) AS n_priced FROM f_tariff WHERE valid_from >= DATE '2024-01-01' GROUP BY 1
+SELECT site_id, tariff_label, count(*) AS n_priced, round(sum(power_kw), 4) AS kw_sum FROM f_tel JOIN f_machine USING (machine_id) JOIN (
+ SELECT site_id, CASE WHEN count(*) FILTER (source_class <> 'ASSUMPTION') = 0 THEN 'ILLUSTRATIVE (ASSUMPTION)' ELSE 'plant tariff' END AS tariff_label
+ FROM f_tariff WHERE valid_from >= DATE '2024-01-01' GROUP BY 1) USING (site_id) GROUP BY 1, 2
 """)
 def _(p):
-    label = reads.tariff_label(reads.tariff_in_force(p.tariff, "2024-01-30"))
-    return label.crossJoin(p.telemetry().agg(F.count("*").alias("n_priced"))).withColumn("site_id", F.lit("site-1"))
+    on = p.telemetry().agg(F.max("ts").cast("date").cast("string")).first()[0]
+    label = reads.tariff_label(reads.tariff_in_force(p.tariff, on))
+    rows = p.telemetry().join(p.machines.select("machine_id", "site_id"), "machine_id")
+    per = rows.groupBy("site_id").agg(F.count("*").alias("n_priced"), F.sum("power_kw").alias("kw_sum"))
+    return per.join(label, "site_id")
 
 
 @query("acceptable_baseline", "SELECT machine_id, round(b_prod, 4) AS b_prod, round(b_idle, 4) AS b_idle FROM f_bl WHERE machine_type = 'furnace'")

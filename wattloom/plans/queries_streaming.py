@@ -42,9 +42,9 @@ def _(p):
     src = _folder(p, "messages")
     if "stream_messages" not in p.marks:
         QX.message_rows(p).write.mode("overwrite").parquet(src)
-        p.marks.add("stream_messages")
         known = p.machines.where("machine_id <> 'pump-01'")
         T.run_to_end(T.stream_ingest(T.read_files(p.spark, src, T.MESSAGE_SCHEMA), known, _folder(p, "accepted"), _folder(p, "dead"), _folder(p, "ckpt_ingest")))
+        p.marks.add("stream_messages")  # only after success
     good, dead = p.spark.read.parquet(_folder(p, "accepted")), p.spark.read.parquet(_folder(p, "dead"))
     return good.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("part"), "n").unionByName(dead.groupBy(F.col("reason").alias("part")).agg(F.count("*").alias("n")))
 
@@ -59,22 +59,26 @@ def _(p):
 def _(p):
     out = _folder(p, "validated_out")
     if "stream_validate" not in p.marks:
-        p.marks.add("stream_validate")
         stream = _unique_files(p)
-        T.run_to_end(T.stream_validate(stream, p.machines, out, _folder(p, "validate_state"), _folder(p, "ckpt_validate"), now=S.END))
+        T.run_to_end(T.stream_validate(stream, p.machines, out, _folder(p, "validate_state"), _folder(p, "ckpt_validate"), now=S.END, backfill=True))
+        p.marks.add("stream_validate")
     return p.spark.read.parquet(out).select("machine_id", "seq", "quality", "quality_reasons")
 
 
 @query("stream_intervals", """
 SELECT machine_id, k, n_good, n_bad, round(CASE WHEN n_counter >= 2 THEN kwh END, 4) AS energy_kwh, round(power_max_kw, 4) AS power_max_kw
-FROM f_perbucket WHERE k < (SELECT max(k) FROM f_perbucket)
+FROM f_perbucket
 """)
 def _(p):
     def build():
         src = _folder(p, "validated")
-        p.telemetry().select("machine_id", "ts", "quality", "energy_kwh", "power_kw").write.mode("overwrite").parquet(src)
+        rows = p.telemetry().select("machine_id", "ts", "quality", "energy_kwh", "power_kw")
+        # A mark well after the last reading lets the watermark pass the last bucket; its own bucket stays open.
+        far = F.max("ts") + F.make_dt_interval(F.lit(0), F.lit(3), F.lit(0), F.lit(p.interval_s))
+        mark = rows.agg(F.lit("end").alias("machine_id"), far.alias("ts"), F.lit("GOOD").alias("quality"), F.lit(None).cast("double").alias("energy_kwh"), F.lit(None).cast("double").alias("power_kw"))
+        rows.unionByName(mark).write.mode("overwrite").parquet(src)
         schema = "machine_id string, ts timestamp, quality string, energy_kwh double, power_kw double"
-        return _sink(p, T.stream_intervals(T.read_files(p.spark, src, schema), interval_s=p.interval_s, delay="0 seconds"), "intervals")
+        return _sink(p, T.stream_intervals(T.read_files(p.spark, src, schema), interval_s=p.interval_s), "intervals")
     df = p.stage("stream_intervals", build)
     k = F.expr(f"(unix_seconds(window_start) - unix_seconds(timestamp'2024-01-01')) div {p.interval_s}").alias("k")
     return df.select("machine_id", k, "n_good", "n_bad", "energy_kwh", "power_max_kw")
@@ -87,8 +91,8 @@ SELECT machine_id, machine_state AS state, ts AS ts_start, te AS ts_end FROM (SE
 def _(p):
     out = _folder(p, "spans_out")
     if "stream_spans" not in p.marks:
-        p.marks.add("stream_spans")
         T.run_to_end(T.stream_state_spans(_unique_files(p), out, _folder(p, "spans_state"), _folder(p, "ckpt_spans")))
+        p.marks.add("stream_spans")
     return p.spark.read.parquet(out).select("machine_id", "state", "ts_start", "ts_end")
 
 
@@ -96,8 +100,8 @@ def _(p):
 def _(p):
     path = _folder(p, "events")
     if "stream_detect" not in p.marks:
-        p.marks.add("stream_detect")
         scored = p.scored()
         score = lambda touched: scored.join(touched, "machine_id", "left_semi")
         T.run_to_end(T.stream_detect(_reading_files(p), score, path, _folder(p, "ckpt_detect")))
+        p.marks.add("stream_detect")
     return p.spark.read.parquet(path).groupBy("rule_id").agg(F.count("*").alias("n_events"), F.max("window_end").alias("newest"))

@@ -53,17 +53,18 @@ def _epoch_state(spark: SparkSession, path: str, epoch: int) -> DataFrame | None
 
 
 def stream_validate(stream: DataFrame, machines: DataFrame, out: str, state: str, checkpoint: str, *, now: str | None = None,
-                    spike_multiple: float = C.SPIKE_MULTIPLE):
+                    backfill: bool = False, spike_multiple: float = C.SPIKE_MULTIPLE):
     """Batch validation per micro-batch, seeded with each machine's last timestamp and highest counter.
 
     The micro-batch goes through the same chunked scans as a batch job, so a machine that
-    fills it does not end up in one task. State is one row per machine and epoch; a
+    fills it does not end up in one task. ``backfill`` leaves out the stale rule, which a
+    live stream applies. State is one row per machine and epoch; a
     replayed epoch reads the same predecessor and overwrites its own folders.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         before = _epoch_state(batch.sparkSession, state, epoch)
         at = now or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        done = ingest.validate_telemetry(batch, machines, now=at, stored=before, backfill=True, spike_multiple=spike_multiple)
+        done = ingest.validate_telemetry(batch, machines, now=at, stored=before, backfill=backfill, spike_multiple=spike_multiple)
         done.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         order = ingest.with_arrival_state(batch, before)
         seen = order.groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max(F.when(F.col("in_order"), F.col("energy_kwh"))).alias("energy_kwh"))
