@@ -263,7 +263,20 @@ def approved(p):
                                            F.when(F.col("i") % 5 == 1, "PENDING_REVIEW").otherwise("APPROVED").alias("status"))
 
 
-@query("apply_interventions")
+@query("apply_interventions", """
+WITH RECURSIVE chk AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM (
+ SELECT event_id AS seq, 'rec-' || (user_id % 97) AS recommendation, 'key-' || ((event_id * 7 + user_id) % 131) AS idempotency_key,
+  CASE WHEN user_id % 97 % 10 = 3 THEN 'unknown recommendation' WHEN user_id % 97 % 5 = 1 THEN 'not approved' WHEN event_id % 9 = 0 THEN 'baseline window must end at or before applied_at' END AS refusal
+ FROM events WHERE event_type = 'purchase')),
+fold AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS recs, []::VARCHAR[] AS keys UNION ALL
+ SELECT c.n, CASE WHEN ok THEN list_append(recs, recommendation) ELSE recs END, CASE WHEN ok THEN list_append(keys, idempotency_key) ELSE keys END FROM (
+  SELECT c.n, recs, keys, recommendation, idempotency_key, refusal IS NULL AND NOT list_contains(recs, recommendation) AND NOT list_contains(keys, idempotency_key) AS ok
+  FROM fold f JOIN chk c ON c.n = f.n + 1) c),
+won AS (SELECT c.* FROM chk c JOIN fold f ON f.n = c.n JOIN fold b ON b.n = c.n - 1 WHERE len(f.recs) > len(b.recs))
+SELECT c.seq, c.recommendation, c.idempotency_key, CASE WHEN k.seq = c.seq THEN 'applied' WHEN k.seq < c.seq AND k.recommendation = c.recommendation THEN 'replay'
+ WHEN k.seq < c.seq THEN 'idempotency_key already used for a different recommendation' WHEN c.refusal IS NOT NULL THEN c.refusal WHEN r.seq < c.seq THEN 'already applied' END AS result
+FROM chk c LEFT JOIN won k ON k.idempotency_key = c.idempotency_key LEFT JOIN won r ON r.recommendation = c.recommendation
+""")
 def _(p):
     return V.apply_interventions(requests(p), approved(p), lambda df, name: p.stage(f"apply_{name}", lambda: df)).select(
         "seq", "recommendation", "idempotency_key", "result")
