@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom import config as C
+from wattloom.functions import scan
 
 FEATURES = ["good_production_kg", *[f"hours_{s}" for s in C.STATES]]
 FURNACE_FEATURES = ["good_production_kg", "hours_heating", "hours_holding", "hours_idle"]
@@ -188,6 +189,7 @@ def score_intervals(intervals: DataFrame, baselines: DataFrame, epsilon_kwh: flo
 
 
 def first_hours(hours: DataFrame, n: int) -> DataFrame:
-    """Marks the first ``n`` hours of a meter series as the fit window."""
-    w = Window.partitionBy("machine_id").orderBy("window_start")
-    return hours.withColumn("is_fit", F.row_number().over(w) <= n)
+    """Marks the first ``n`` hours of a meter series as the fit window; counted by days, so no task holds a series."""
+    rows = hours.withColumns({"_one": F.lit(1).cast("long"), "_day": F.to_date("window_start")})
+    rows = scan.running_sum(rows, ["machine_id"], "_day", ["window_start"], "_one", "_nth")
+    return rows.withColumn("is_fit", F.col("_nth") <= n).drop("_one", "_day", "_nth")

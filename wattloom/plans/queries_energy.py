@@ -253,7 +253,7 @@ def _(p):
 @query("fit_baseline")
 def _(p):
     f = baseline.fit_baseline(train_intervals(p))
-    return f.select("machine_id", "status", "n_train", "n_holdout", "intercept", F.to_json("coefficients").alias("coefficients"), "clipped",
+    return f.select("machine_id", "status", "n_train", "n_holdout", "intercept", F.to_json(F.transform_values("coefficients", lambda _, v: F.round(v, 4))).alias("coefficients"), "clipped",
                     "r2_train", "cv_rmse_pct_train", "nmbe_pct_train", "r2_holdout", "cv_rmse_pct_holdout", "nmbe_pct_holdout", "acceptance")
 
 
@@ -453,7 +453,7 @@ FIT_HOURS = 8 * 7 * 24
 def _(p):
     marked = baseline.first_hours(meter_intervals(p), FIT_HOURS)
     f = baseline.fit_baseline(marked.where("is_fit"))
-    return f.select("machine_id", "status", "n_train", "n_holdout", "intercept", F.to_json("coefficients").alias("coefficients"),
+    return f.select("machine_id", "status", "n_train", "n_holdout", "intercept", F.to_json(F.transform_values("coefficients", lambda _, v: F.round(v, 4))).alias("coefficients"),
                     "cv_rmse_pct_holdout", "nmbe_pct_holdout", "acceptance")
 
 
