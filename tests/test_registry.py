@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wattloom.operators import ingest
+from wattloom.operators import ingest, reads, schedule
 from wattloom.plans import common
 from wattloom.sources import canonical
 from wattloom.streaming import ingest as T
@@ -34,6 +34,43 @@ def test_rows_equal_sql(spark, name):
     assert got == want
 
 
+def test_changed_inputs_make_new_stages(spark, tmp_path):
+    for t in common.INPUTS:
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(40).write.parquet(f"{tmp_path}/{t}.parquet")
+    first = common.plant(spark, str(tmp_path))
+    assert common.plant(spark, str(tmp_path)) is first
+    spark.read.parquet(f"{SF}/events.parquet").limit(5).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert common.plant(spark, str(tmp_path)) is not first
+
+
+def test_no_size_steers_the_interval(spark):
+    assert common.plant(spark, SF).interval_s == common.plant(spark, "/root/testdata/sf0.01").interval_s == canonical.INTERVAL_S
+
+
+def test_limits_are_not_cut(spark):
+    df = spark.range(12000).selectExpr("'m' AS machine_id", "timestamp_seconds(id) AS ts")
+    assert reads.recent(df, "ts", limit=11000).count() == 11000 and reads.recent(df, "ts").count() == 1000
+    with pytest.raises(ValueError):
+        reads.recent(df, "ts", limit=0)
+
+
+def test_plans_without_a_state_power_have_no_price(spark):
+    from test_schedule import _model, _powers, _tariff
+    slots = spark.createDataFrame([("p", "f", None, 0, "idle", 0.0, 0.0)], "plan_id string, machine_id string, day date, slot int, state string, aux_kw double, melt_kg double")
+    heats = spark.createDataFrame([], "plan_id string, charge_kg double, reheat_slots int")
+    tariff = _tariff(spark, [("all", 0, 1440, 5.0)])
+    run = lambda pw: schedule.evaluate_schedule(slots, heats, _model(spark), pw, tariff, site_id="s", interval_s=3600).first()
+    none = run(_powers(spark).where("machine_state <> 'idle'"))
+    assert none.peak_kw is None and none.cost_inr is None and none.energy_kwh is not None
+
+
+def test_unplaced_plans_are_told(spark):
+    plans = spark.createDataFrame([("a",), ("b",), ("c",)], "plan_id string")
+    heat = lambda ids: spark.createDataFrame([(i,) for i in ids], "plan_id string")
+    got = {r.plan_id: r.status for r in schedule.shift_status(plans, heat("aab"), heat("aa")).collect()}
+    assert got == {"a": "SHIFTED", "b": "INFEASIBLE", "c": "EMPTY"}
+
+
 def test_stages_go_to_the_session_folder(spark):
     p = common.plant(spark, SF)
     assert p.root.startswith(spark.conf.get("spark.checkpoint.dir"))

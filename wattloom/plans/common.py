@@ -65,6 +65,7 @@ class Plant:
         self.root = f"{stage_root(spark)}/wattloom-{uuid.uuid4().hex}"
         self._stages: dict[str, DataFrame] = {}
         self.marks: set[str] = set()  # streams that already ran to their end
+        self.state: tuple = ()  # of the input tables when the plant was made
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._stages:
@@ -150,6 +151,7 @@ def stored_baselines(iv: DataFrame) -> DataFrame:
 
 
 _PLANTS: dict[tuple[str, str], Plant] = {}
+INPUTS = ("events", "lineitem", "customer")
 
 
 def prepare(spark: SparkSession) -> None:
@@ -159,11 +161,24 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
 
 
+def _state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Change time, size and number of files of a table, from the store's own listing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return (0, 0, 0)
+    size = fs.getContentSummary(at)
+    return fs.getFileStatus(at).getModificationTime(), size.getLength(), size.getFileCount()
+
+
 def plant(spark: SparkSession, sf_dir: str) -> Plant:
+    """The plant over a folder; a changed input table gives a new one, so no stage answers for old files."""
     prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PLANTS:
+    state = tuple(_state_of(spark, f"{sf_dir}/{t}.parquet") for t in INPUTS)
+    if key not in _PLANTS or _PLANTS[key].state != state:
         _PLANTS[key] = Plant(spark, sf_dir)
+        _PLANTS[key].state = state
     return _PLANTS[key]
 
 
