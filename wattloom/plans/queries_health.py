@@ -371,8 +371,11 @@ def _(p):
 
 
 @query("text_guard", """
-SELECT category, machine_id, window_start, text FROM f_ins
+SELECT category, machine_id, window_start, text FROM (SELECT category, machine_id, window_start, text || CASE day(window_start) % 3 WHEN 0 THEN ' Wear caused this.' WHEN 1 THEN ' Wear is not an established cause.' ELSE '' END AS text FROM f_ins)
 WHERE regexp_matches(regexp_replace(lower(text), 'not an established cause', '', 'g'), '\\b(cause|caused|because|due to|results from)\\b')
 """)
 def _(p):
-    return correlate.text_guard(insights(p)).select("category", "machine_id", "window_start", "text")
+    day = F.dayofmonth("window_start") % 3  # a third of the texts gets a banned claim, a third the allowed denial
+    more = F.when(day == 0, " Wear caused this.").when(day == 1, " Wear is not an established cause.").otherwise("")
+    mixed = insights(p).withColumn("text", F.concat("text", more))
+    return correlate.text_guard(mixed).select("category", "machine_id", "window_start", "text")
