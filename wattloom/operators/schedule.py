@@ -153,18 +153,23 @@ def comparability(current: DataFrame, recommended: DataFrame, tol: float = C.COM
 
 
 def validate_schedules(heats: DataFrame, aux: DataFrame, constraints: DataFrame, templates: DataFrame, windows: DataFrame,
-                       maintenance: DataFrame, aux_tasks: DataFrame, powers: DataFrame) -> DataFrame:
+                       maintenance: DataFrame, aux_tasks: DataFrame, powers: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """Violations (plan_id, item, violation) of every hard rule; an empty result is a valid set of plans.
 
     constraints: plan_id, machine_id, n_slots, n_heats, cold_slots, reheat_slots, first_cold, peak_cap_kw.
+    Heats follow the templates of their places; where their number is not the required one,
+    all of them follow the plan's default template (``defaults``, else its first).
     """
     w = Window.partitionBy("plan_id").orderBy("start_slot", "heat_no")
     h = (heats.join(constraints.drop("machine_id").withColumnRenamed("reheat_slots", "_extra"), "plan_id")
          .withColumns({"pos": F.row_number().over(w) - 1, "_end": end_slot(), "_prev": F.lag(end_slot()).over(w),
                        "_count": F.count("*").over(Window.partitionBy("plan_id"))}))
-    t = templates.select("plan_id", F.col("heat_no").alias("pos"), F.col("heating_slots").alias("t_heat"), F.col("melting_slots").alias("t_melt"),
-                         "min_hold_slots", "max_hold_slots")
-    h = h.join(t, ["plan_id", "pos"], "left")
+    defaults = templates.where("heat_no = 0") if defaults is None else defaults
+    t = templates.unionByName(defaults.withColumn("heat_no", F.lit(-1).cast(templates.schema["heat_no"].dataType)), allowMissingColumns=True)
+    t = t.select("plan_id", F.col("heat_no").alias("_template"), F.col("heating_slots").alias("t_heat"), F.col("melting_slots").alias("t_melt"),
+                 "min_hold_slots", "max_hold_slots")
+    h = h.withColumn("_template", F.when(F.col("_count") == F.col("n_heats"), F.col("pos")).otherwise(-1))
+    h = h.join(t, ["plan_id", "_template"], "left")
     gap = F.col("start_slot") - F.coalesce("_prev", F.lit(0))
     cold = (gap > F.col("cold_slots")) & (F.col("_prev").isNotNull() | F.col("first_cold"))
     want = F.when(cold, F.col("_extra")).otherwise(0)
@@ -200,8 +205,10 @@ def validate_schedules(heats: DataFrame, aux: DataFrame, constraints: DataFrame,
     load = F.coalesce("kw", F.lit(0.0)) + F.coalesce("akw", F.lit(0.0))
     peak = (total.where((load > F.col("peak_cap_kw") + 1e-9) & (F.col("slot") >= 0) & (F.col("slot") < F.col("n_slots")))
             .select("plan_id").distinct().select("plan_id", F.lit("plan").alias("item"), F.lit("peak cap exceeded").alias("violation")))
+    unknown = constraints.where("peak_cap_kw IS NOT NULL").join(powers.select("machine_id").distinct(), "machine_id", "left_anti").select(
+        "plan_id", F.lit("plan").alias("item"), F.lit("peak cap set but no state powers").alias("violation"))
     out = per_heat
-    for part in (outside, during, count, per_aux, aux_during, peak):
+    for part in (outside, during, count, per_aux, aux_during, peak, unknown):
         out = out.unionByName(part)
     return out
 

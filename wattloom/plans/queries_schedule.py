@@ -251,7 +251,9 @@ SELECT plan_id, 'heat ' || x.pos AS item, v AS violation FROM (SELECT x.*, unnes
   CASE WHEN x.start_slot < prev THEN 'overlaps previous heat' END,
   CASE WHEN NOT ((x.start_slot >= 0 AND e <= 50) OR (x.start_slot >= 50 AND e <= 96)) THEN 'not inside one operating window' END,
   CASE WHEN x.start_slot < 24 AND 20 < e THEN 'overlaps maintenance' END], lambda y: y IS NOT NULL)) AS v
- FROM f_badx x JOIN f_tpl t ON t.plan_id = x.plan_id AND t.heat_no = x.pos) x
+ FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS cnt FROM f_badx) x JOIN f_cons c ON c.plan_id = x.plan_id
+ LEFT JOIN f_tpl t ON t.plan_id = x.plan_id AND t.heat_no = CASE WHEN x.cnt = c.n_heats THEN x.pos ELSE 0 END) x
+UNION ALL SELECT plan_id, 'plan', 'peak cap set but no state powers' FROM f_cons WHERE peak_cap_kw IS NOT NULL AND machine_id NOT IN (SELECT machine_id FROM f_med)
 UNION ALL SELECT plan_id, 'plan', 'heat count differs' FROM f_cons WHERE n_heats <> (SELECT count(*) FROM f_bad b WHERE b.plan_id = f_cons.plan_id)
 UNION ALL SELECT plan_id, 'aux pump job', v FROM (SELECT plan_id, unnest(list_filter([CASE WHEN duration_slots <> t_dur THEN 'duration differs' END,
   CASE WHEN NOT (ws <= start_slot AND start_slot + duration_slots <= we) THEN 'outside its window' END,
