@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from wattloom.llm.common import pieces
 
 Q = 8
-WINDOW = 96
+WINDOW = 64
 BUDGET = 0.1
 BLOCK = 20_000  # windows of one pass over the documents
 SLICE = 2_000_000  # bytes of a document looked at together
