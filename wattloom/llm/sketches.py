@@ -100,9 +100,10 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     # Texts move once, to their key; what moves on is a prefix and a sketch, to the document before.
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), digest_key(F.col(id_col), F.col(text_col)).alias("key"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    # Both uses of these rows need the same columns and no row limit, so that one shuffle serves both.
+    rows = rows.withColumn("first", F.lag(F.lit(1)).over(Window.partitionBy("key").orderBy("id")).isNull())
     rows = rows.join(neighbours(docs, id_col, text_col), "key")
-    given = with_sketch(rows.where("copy = 1").select(F.col("prev_key").alias("key"), "text", "prev_n"), "text", "next_sketch", k, shingle)
+    given = with_sketch(rows.where("first").select(F.col("prev_key").alias("key"), "text", "prev_n"), "text", "next_sketch", k, shingle)
     given = given.select("key", "next_sketch", F.expr("substring(text, 1, prev_n div 4)").alias("prefix"))
     both = rows.join(given, "key").select("id", "n", "text", "next_sketch", F.expr("concat(substring(text, 1, n - n div 4), prefix)").alias("edited"))
     both = with_sketch(with_sketch(both, "text", "sketch", k, shingle), "edited", "edited_sketch", k, shingle)
