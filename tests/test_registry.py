@@ -86,10 +86,12 @@ def test_streams_in_several_batches_equal_the_batch(spark, tmp_path):
         part = unique.where((F.col("seq") > top * i / 3 - (1 if i == 0 else 0)) & (F.col("seq") <= top * (i + 1) / 3)).select(*cols)
         part.coalesce(1).write.mode("append").parquet(src)
     stream = lambda: T.read_files(spark, src, T.READING_SCHEMA, max_files=1)
-    T.run_to_end(T.stream_validate(stream(), machines, f"{tmp_path}/v", f"{tmp_path}/vs", f"{tmp_path}/vc", now=canonical.END))
+    T.run_to_end(T.stream_validate(stream(), machines, f"{tmp_path}/v", f"{tmp_path}/vs", f"{tmp_path}/vc", now=canonical.END, backfill=True))
     want = ingest.validate_telemetry(unique, machines, now=canonical.END, backfill=True)
     key = lambda df: sorted((r.seq, r.quality, tuple(r.quality_reasons)) for r in df.select("seq", "quality", "quality_reasons").collect())
     assert key(spark.read.parquet(f"{tmp_path}/v")) == key(want)
+    T.run_to_end(T.stream_validate(stream(), machines, f"{tmp_path}/live", f"{tmp_path}/ls", f"{tmp_path}/lc", now=canonical.END))  # a live stream tells stale rows
+    assert key(spark.read.parquet(f"{tmp_path}/live")) == key(ingest.validate_telemetry(unique, machines, now=canonical.END, backfill=False)) != key(want)
     assert spark.read.parquet(f"{tmp_path}/v").select("epoch").distinct().count() == 3
     T.run_to_end(T.stream_state_spans(stream(), f"{tmp_path}/s", f"{tmp_path}/ss", f"{tmp_path}/sc"))
     spans = lambda df: sorted((r.machine_id, r.state, r.ts_start, r.ts_end) for r in df.where("ts_end is not null").collect())
