@@ -10,7 +10,7 @@ a piece of one too long for a segment, in ascending id order. Segments are bound
 neither writer nor reader ever holds a partition's ids.
 
 Defined cases: null text is empty (its document holds the end id alone); null ids come
-first; documents with one id are ordered by text; repeated rows are documents of their own.
+first; documents with one id are ordered by a hash of their text; repeated rows are documents of their own.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from wattloom.llm.common import pieces
 MAGIC = b"DAC1"
 BLOCK = 512  # bits of a bitmap for one entry of the rank directory
 SEGMENT = 1 << 18  # ids of a segment at most
+CACHE = 400_000  # chunks and words that a worker keeps, twice over
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -150,7 +151,7 @@ def library_cache(path: str) -> bpe.ChunkCache:
             return bpe.WORDS.findall(chunk.lower())
 
         def encode(chunks: list[str]) -> list[bytes]:
-            if len(words) > bpe.CACHE:  # two generations, as for chunks
+            if len(words) > CACHE:  # two generations, as for chunks
                 old.clear()
                 old.update(words)
                 words.clear()
@@ -158,7 +159,7 @@ def library_cache(path: str) -> bpe.ChunkCache:
             learn({w for s in parts for w in s}, model, spelt)
             learn({c for c, s in zip(chunks, parts, strict=True) if not s}, tok, lambda c: c)
             return [b"".join([words[w] for w in s]) if s else words[c] for c, s in zip(chunks, parts, strict=True)]
-        _LIBRARY[path] = bpe.ChunkCache(encode)
+        _LIBRARY[path] = bpe.ChunkCache(encode, CACHE)
     return _LIBRARY[path]
 
 
@@ -209,7 +210,8 @@ def segments(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
                 ordinal += 1
         if held:
             yield flush(True)
-    ordered = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange("i", "t").sortWithinPartitions("i", "t")
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    ordered = rows.repartitionByRange("i", "h").sortWithinPartitions("i", "h").drop("h")  # bounds are sampled to the driver, so no texts among them
     return ordered.withColumn("p", F.spark_partition_id()).mapInArrow(run, schema)
 
 
