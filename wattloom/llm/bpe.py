@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from wattloom.llm.common import pieces
 
 #: Entries of one generation of a worker's chunk cache (two generations are kept).
-CACHE = 400_000
+CACHE = 200_000
 NEVER = np.int64(1 << 60)
 NONE = 1 << 60
 MARK = "\uffff"

@@ -61,7 +61,7 @@ def strings(column: pa.ChunkedArray | pa.Array, lo: int, hi: int) -> list[str]:
     return [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cuts Arrow batches so that a piece's texts hold about ``most`` characters (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -33,7 +33,7 @@ Q = 8
 WINDOW = 64
 BUDGET = 0.1
 BLOCK = 20_000  # windows of one pass over the documents
-SLICE = 2_000_000  # bytes of a document looked at together
+SLICE = 500_000  # bytes of a document looked at together
 FILTER_BITS = 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 OUTSIDE = 0xFF  # never occurs in UTF-8

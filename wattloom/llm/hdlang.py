@@ -32,7 +32,7 @@ from wattloom.llm.common import pieces
 DIMENSIONS = 1024
 GRAM = 3
 GAP = 0  # symbol of everything between words
-PIECE = 1 << 20  # symbols encoded at once
+PIECE = 1 << 18  # symbols encoded at once
 
 
 @lru_cache(maxsize=1)
@@ -122,7 +122,7 @@ class Encoder:
         else:
             kinds, which = np.unique(key, return_inverse=True)
         docs = rows[0]
-        width = max(1 << 10, (1 << 23) // len(docs))
+        width = max(1 << 10, (1 << 21) // len(docs))
         for lo in range(0, len(kinds), width):  # a bounded number of n-grams at once
             hi = min(lo + width, len(kinds))
             if hi - lo == len(kinds):
