@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
-from wattloom.llm import decontam
+from wattloom.llm import decontam, resemblance, stages
 from wattloom.llm.queries import tokenizer_path
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -83,3 +83,49 @@ def test_entry_works_without_the_subpackage():
             "assert len(e.queries()) > 190 and 'pipeline' not in e.queries() and not any(q.startswith('op') and '_' in q and q[2:3].isdigit() for q in e.queries())\n"
             "assert set(e.oracle_sql()) <= set(e.queries())")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, capture_output=True)
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_dedup_follows_the_rule_of_five_words_and_four_fifths(spark):
+    r, texts = random.Random(80), []
+    for k in range(60):  # copies with changed words: similarities from about 0.65 to 0.95
+        words = prose(5000 + k, 200).split()
+        texts.append(" ".join(words))
+        for c in range(2):
+            copy = list(words)
+            for at in r.sample(range(200), 1 + (k + 3 * c) % 8):
+                copy[at] = f"changed{k}x{c}x{at}"
+            texts.append(" ".join(copy))
+    texts += [f"{prose(6000, 300)} {prose(6001 + k, 1)} end{k}" for k in range(300)] + ["alpha beta", "alpha  Beta", "gamma"]  # a crowd, short texts
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    between = 0
+    for groups in (range(a, a + 3) for a in range(0, 180, 3)):
+        for i in groups:
+            for j in groups:
+                if i < j:
+                    s = jaccard(texts[i], texts[j])
+                    between += 0.8 <= s < 0.95
+                    if s >= 0.8:
+                        a, b = sorted((find(i), find(j)))
+                        root[b] = a
+    kept = {i for i in range(180) if root[i] == i} | {180, 480, 482}
+    assert between > 40 and len(kept) > 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id for x in stages.simhash_near_dedup(spark, docs, "").collect()} == kept
+
+
+def test_bands_miss_next_to_nothing_at_four_fifths():
+    r, shared = np.random.default_rng(8), 0
+    for _ in range(2000):
+        x = r.integers(0, 1 << 63, 180, dtype=np.uint64)
+        shared += (resemblance.band_keys(x[:160 + 2]) == resemblance.band_keys(x[18:])).any()  # 144 of 180
+    assert shared == 2000
