@@ -129,3 +129,36 @@ def test_bands_miss_next_to_nothing_at_four_fifths():
         x = r.integers(0, 1 << 63, 180, dtype=np.uint64)
         shared += (resemblance.band_keys(x[:160 + 2]) == resemblance.band_keys(x[18:])).any()  # 144 of 180
     assert shared == 2000
+
+
+def brute_runs(texts, run=3, words=50):
+    """Lines covered by runs of lines, of ``run`` lines or ``words`` words, that begin at an earlier place too."""
+    seen, out = set(), []
+    for t in texts:
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, min(a + run, len(lines)) + 1):
+                part = lines[a:b]
+                if any(x.strip(" ") for x in part) and (len(part) == run or len(" ".join(part).split()) >= words):
+                    if tuple(part) in seen:
+                        gone |= set(range(a, b))
+                    seen.add(tuple(part))
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_line_dedup_stage_takes_passages_of_fifty_words_in_any_layout(spark):
+    r = random.Random(50)
+    line = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    passages = [[line(1, 11), line(2, 43)], [line(3, 30), line(4, 40)], [line(5, 25), line(6, 25)], [line(7, 60).replace(" ", "\t")], [line(8, 60)], [line(9, 20), "", line(10, 5)],
+                [line(11, 24), line(12, 25)], [line(13, 49)], [line(14, 50).replace(" ", "\u00a0")], [line(15, 49), ""], [line(16, 49), "  " * 30]]
+    texts = []
+    for k in range(60):
+        parts = [[line(1000 + 9 * k + j, r.randint(3, 9))] for j in range(3)] + r.sample(passages, 3)
+        r.shuffle(parts)
+        texts.append("\n".join(x for p in parts for x in p))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "length(text) AS n_chars")
+    got = [x.text for x in stages.line_dedup(spark, docs, "").orderBy("doc_id").collect()]
+    expected = brute_runs(texts)
+    assert got == expected
+    assert sum("w1x0 " in t for t in got) == sum("w5x0 " in t for t in got) == 1 < sum("w11x0 " in t for t in got)
