@@ -92,3 +92,9 @@ def test_daily_metrics_split_days_locally(spark):
     a, b = got["2026-09-01"], got["2026-09-02"]
     assert (a.heat_count, a.start_count, a.non_productive_kwh) == (1, 1, 5.0) and b.idle_hours == pytest.approx(3.0)
     assert (b.heat_count, b.start_count, b.non_productive_share, b.median_heat_gap_h) == (1, 1, 1.0, None)
+
+
+def test_every_machine_with_a_reference_is_listed(spark):
+    rows = [("m1", x) for x in ("pump-01", "furnace-01", "compressor-01", "furnace-01")] + [("m2", "pump-01")]
+    got = health.covered_machines(spark.createDataFrame(rows, "model_id string, machine_id string")).collect()
+    assert sorted(map(tuple, got)) == [("m1", "compressor-01"), ("m1", "furnace-01"), ("m1", "pump-01"), ("m2", "pump-01")]

@@ -129,3 +129,8 @@ def model_coverage(reference: DataFrame) -> DataFrame:
     """Machines that have a reference, per model: how many, the first and the last."""
     return reference.groupBy("model_id").agg(F.count_distinct("machine_id").alias("n_machines"), F.min("machine_id").alias("first_machine"),
                                              F.max("machine_id").alias("last_machine"))
+
+
+def covered_machines(reference: DataFrame) -> DataFrame:
+    """Every machine that has a reference, per model, one a row."""
+    return reference.select("model_id", "machine_id").distinct()

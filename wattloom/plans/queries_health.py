@@ -272,6 +272,13 @@ def _(p):
     return health.model_coverage(health_reference(p).withColumn("model_id", F.lit("statistical-v1")))
 
 
+@query("model_covered_machines", """
+SELECT DISTINCT 'statistical-v1' AS model_id, machine_id FROM f_href
+""")
+def _(p):
+    return health.covered_machines(health_reference(p).withColumn("model_id", F.lit("statistical-v1")))
+
+
 # -- energy x health ------------------------------------------------------------
 fragment("f_pairs", """
 SELECT e.machine_id, e.dedup_key, h.k, h.window_start AS h_start, h.window_end AS h_end, h.state, h.status,
