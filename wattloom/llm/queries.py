@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe, dac, decontam, golay, hdlang, linededup, pii, sketches, suffix, warc
+from wattloom.llm import bpe, colloc, dac, decontam, golay, hdlang, linededup, pii, sketches, suffix, warc
 from wattloom.llm.common import new_path, staged, table
 
 #: Where the vocabulary file lies; set it to use another copy.
@@ -139,5 +139,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "windows", F.col("of").alias("item_windows"))
 
 
+@query("op13_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, w[i:i + size - 1] AS parts FROM w, unnest([1, 2, 3]) s(size), unnest(range(1, len(w) - size + 2)) r(i)),
+f AS (SELECT lang, size, phrase, any_value(parts) AS parts, count(*) AS f FROM g GROUP BY lang, size, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT c.lang, c.size, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (c.f::HUGEINT * c.f * 1000000) // (l.f::HUGEINT * r.f) AS score
+      FROM c, unnest(range(1, c.size)) x(k) JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(c.parts[1:k], ' ')
+      JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(c.parts[k + 1:c.size], ' ')),
+best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, size, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.size = 3 AND b.size = 2 AND c.lang = b.lang AND 100 * c.f >= 50 * b.a
+         AND b.phrase IN (array_to_string(c.parts[1:2], ' '), array_to_string(c.parts[2:3], ' '))))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = colloc.ranked(colloc.collocations(documents(spark, sf_dir)), 2000)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 def oracle_statements() -> dict[str, str]:
     return {k: v.strip() for k, v in ORACLE.items()}
