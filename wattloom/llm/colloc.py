@@ -40,7 +40,7 @@ from wattloom.llm.common import pieces, staged
 LEAST = 10
 COVER = 50  # percent of a phrase's occurrences within one longer candidate that drop it
 BITS = 26
-PENDING = 2_000_000  # n-grams that a task holds before it counts them
+PENDING = 1_000_000  # n-grams that a task holds before it counts them
 BLOCK = 1 << 20
 UND = "und"
 
@@ -232,6 +232,14 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, lang_c
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of each language (from 1): by score, then frequency, both falling, then phrase."""
+    """The first ``top`` of each language (from 1): by score, then frequency, both falling, then phrase.
+
+    Rows are first counted by steps of the score's logarithm; only those of steps that the
+    first ``top`` reach are sorted, so a language's rows do not all meet in one task.
+    """
+    found = staged(found.withColumn("step", F.floor(16 * F.log2(F.col("score") + 1.0))), "candidates")
+    steps = found.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("here"))
+    above = F.sum("here").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+    reached = steps.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < top).select("lang", "step")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return found.join(reached, ["lang", "step"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe, colloc, dac, decontam, golay, hdlang, linededup, pii, sketches, suffix, warc
+from wattloom.llm import bpe, colloc, dac, decontam, golay, hdlang, linededup, pii, sketches, spelling, suffix, warc
 from wattloom.llm.common import new_path, staged, table
 
 #: Where the vocabulary file lies; set it to use another copy.
@@ -139,6 +139,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "windows", F.col("of").alias("item_windows"))
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query("op13_collocations", r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
