@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import bpe, colloc, dac, decontam, golay, hdlang, linededup, pii, sketches, spelling, suffix, warc
+from wattloom.llm import bpe, colloc, dac, decontam, embed, golay, hdlang, linededup, pii, sketches, spelling, suffix, warc
 from wattloom.llm.common import new_path, staged, table
 
 #: Where the vocabulary file lies; set it to use another copy.
@@ -144,6 +144,21 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query("op12_embedding_near_dedup", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e WHERE label IS NOT NULL AND v IS NOT NULL
+       AND list_count(v) = len(v) AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach AS (WITH RECURSIVE r(vec_id, other) AS (SELECT a, b FROM links UNION SELECT r.vec_id, links.b FROM r JOIN links ON links.a = r.other) SELECT vec_id, min(other) AS other FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, least(vec_id, coalesce(other, vec_id)) = vec_id AS kept
+FROM e LEFT JOIN n USING (vec_id) LEFT JOIN reach USING (vec_id)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 @query("op13_collocations", r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
