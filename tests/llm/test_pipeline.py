@@ -7,7 +7,8 @@ import sys
 from pathlib import Path
 
 import numpy as np
-from test_text_operators import brute_groups, brute_lines, brute_simhash, prose, semi_global
+from test_search_operators import similar_groups
+from test_text_operators import brute_lines, prose, semi_global
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -41,7 +42,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     docs = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
     cleaned = brute_lines(docs, 3, 50)
     docs = [(i, cleaned[i][2]) for i, _ in docs if not (cleaned[i][1] and not cleaned[i][2].strip())]
-    groups = brute_groups({i: brute_simhash(t) for i, t in docs})
+    groups = similar_groups(dict(docs))
     docs = [(i, t) for i, t in docs if groups[i] == i]
     windows = [w for b in bench for w in decontam.windows_of(b)]
     docs = [(i, t) for i, t in docs if not any(semi_global(w, decontam.normalized(t)) <= decontam.budget(len(w)) for w in windows)]

@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,8 +47,12 @@ def chunks_of(text: str) -> list[str]:
 
 
 def folded(text: str) -> str:
-    """Lower case ahead of the cache, where it can't turn text into a special token and has no context."""
-    return text if "<|" in text or "Σ" in text else text.lower()
+    """Composed and then lower case ahead of the cache, as the file has it; the text itself where that could make
+    a special token, depends on context, or would be composed further (small letters with marks that capitals lack)."""
+    if "<|" in text or "Σ" in text:
+        return text
+    low = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
+    return low if unicodedata.is_normalized("NFC", low) else text
 
 
 def byte_letters() -> list[str]:

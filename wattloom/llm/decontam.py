@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma on diagonal bands.
 
 Texts are lower-cased and white space is collapsed. A benchmark item is cut into windows of
-``window`` bytes (a shorter item is one window) that overlap by half, the last at its end. A document holds a
+``window`` characters (a shorter item is one window) that overlap by half, the last at its end. A document holds a
 window if some substring of it is within the window's edit budget (a tenth of its length).
 
 If an alignment has at most k edits, at least m - q + 1 - k q of the window's q-grams occur
@@ -33,14 +33,20 @@ Q = 8
 WINDOW = 64
 BUDGET = 0.1
 BLOCK = 20_000  # windows of one pass over the documents
-SLICE = 500_000  # bytes of a document looked at together
+SLICE = 500_000  # characters of a document looked at together
+MOST = 2_000_000  # q-gram hits that are expanded together
 FILTER_BITS = 21
-MIX = np.uint64(0x9E3779B97F4A7C15)
-OUTSIDE = 0xFF  # never occurs in UTF-8
+MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+OUTSIDE = (1 << 32) - 1  # no code point
 
 
-def normalized(text: str) -> bytes:
-    return b" ".join(text.lower().encode("utf-8", "surrogatepass").split())
+def normalized(text: str) -> str:
+    """Lower case, ASCII white space collapsed."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass")
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def budget(length: int, q: int = Q, share: float = BUDGET) -> int:
@@ -48,7 +54,7 @@ def budget(length: int, q: int = Q, share: float = BUDGET) -> int:
     return min(int(length * share), (length - q) // q)
 
 
-def windows_of(text: str, q: int = Q, window: int = WINDOW) -> list[bytes]:
+def windows_of(text: str, q: int = Q, window: int = WINDOW) -> list[str]:
     data = normalized(text)
     if len(data) < q:
         return []
@@ -57,10 +63,14 @@ def windows_of(text: str, q: int = Q, window: int = WINDOW) -> list[bytes]:
 
 
 def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
-    """The q bytes (at most eight) from each position on as one number; one for each position but the last q - 1."""
+    """A hash of the q characters from each position on; one for each position but the last q - 1.
+
+    Different q-grams with one hash count as one: that can add bands to verify, never take one away.
+    """
+    wide = data.astype(np.uint64)
     out = np.zeros(max(0, len(data) - q + 1), np.uint64)
     for k in range(q):
-        out |= data[k:k + len(out)].astype(np.uint64) << np.uint64(8 * k)
+        out = out * ODD + wide[k:k + len(out)]
     return out
 
 
@@ -82,7 +92,7 @@ class Index:
         self.of = np.bincount(self.owner, minlength=len(self.ids))
         if not self.windows:
             return
-        codes = [grams(np.frombuffer(w, np.uint8), q) for w in self.windows]
+        codes = [grams(points(w), q) for w in self.windows]
         code = np.concatenate(codes)
         win = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         off = np.concatenate([np.arange(len(c)) for c in codes])
@@ -92,7 +102,7 @@ class Index:
         self.win, self.off = win[order], off[order]
         self.table = np.zeros(1 << FILTER_BITS, bool)
         self.table[self._slot(self.code)] = True
-        self.span = int((self.length + 2 * self.k).max())  # an alignment's q-grams lie within so many bytes
+        self.span = int((self.length + 2 * self.k).max())  # an alignment's q-grams lie within so many characters
         self.fewest = int(self.least.min())
 
     @staticmethod
@@ -107,7 +117,7 @@ class Index:
             held, size = [], 0
             step = SLICE - 2 * self.span
             for k, t in enumerate(texts):
-                data = normalized(t)
+                data = points(normalized(t))
                 for at in range(0, max(1, len(data) - 2 * self.span), step):
                     part = data[at:at + SLICE]
                     held.append((k, part))
@@ -124,9 +134,17 @@ class Index:
         best[1:] = (doc[1:] != doc[:-1]) | (win[1:] != win[:-1])
         return doc[best], win[best], edits[best]
 
-    def _search(self, held: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gap = bytes([OUTSIDE]) * self.q
-        data = np.frombuffer(gap.join([p for _, p in held]) + gap, np.uint8)
+    def _halves(self, held: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, np.ndarray]]]:
+        """Two parts of what is searched; halves of one text overlap by two spans, so each alignment lies in one of them whole."""
+        if len(held) > 1:
+            return [held[:len(held) // 2], held[len(held) // 2:]]
+        (k, part), = held
+        middle = len(part) // 2
+        return [[(k, part[:middle + self.span])], [(k, part[middle - self.span:])]]
+
+    def _search(self, held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gap = np.full(self.q, OUTSIDE, np.uint32)
+        data = np.concatenate([x for _, p in held for x in (p, gap)])
         sizes = np.array([len(p) for _, p in held], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + self.q)[:-1]])
         none = np.zeros(0, np.int64)
@@ -143,16 +161,26 @@ class Index:
         same = self.code[place] == code[at]
         at, place = at[same], place[same]
         many = self.first[place + 1] - self.first[place]
-        which = np.repeat(self.first[place], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        x = np.repeat(at, many)
-        win, off = self.win[which], self.off[which]
-        doc = np.searchsorted(starts, x, side="right") - 1
-        half = 2 * self.k[win] + 1
-        shift = (self.length.max() // half + 2) * half
-        band = (x - starts[doc] - off + shift) // half
+        if many.sum() > MOST and (len(held) > 1 or sizes[0] > 8 * self.span):
+            return tuple(np.concatenate(x) for x in zip(*map(self._search, self._halves(held)), strict=True))
         n_band = int(sizes.max() + 2 * self.length.max()) + 4
-        key = (doc * len(self.windows) + win) * n_band + band
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        # What is left has few places: its bands are counted by parts of the hits and added up.
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // MOST)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part, here, n = at[a:b], place[a:b], many[a:b]
+            which = np.repeat(self.first[here] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x = np.repeat(part, n)
+            win, off = self.win[which], self.off[which]
+            doc = np.searchsorted(starts, x, side="right") - 1
+            half = 2 * self.k[win] + 1
+            shift = (self.length.max() // half + 2) * half
+            found = (doc * len(self.windows) + win) * n_band + (x - starts[doc] - off + shift) // half
+            found, hits = np.unique(np.concatenate([found, found - 1]), return_counts=True)
+            if len(key):
+                found, which = np.unique(np.concatenate([key, found]), return_inverse=True)
+                hits = np.bincount(which, np.concatenate([count, hits])).astype(np.int64)
+            key, count = found, hits
         band, rest = key % n_band, key // n_band
         win, doc = rest % len(self.windows), rest // len(self.windows)
         keep = count >= self.least[win]
@@ -178,13 +206,13 @@ class Index:
         inside = (at >= 0) & (at < size[:, None])
         text = np.where(inside, data[np.clip(start[:, None] + at, 0, len(data) - 1)], OUTSIDE)
         words, which = np.unique(win, return_inverse=True)
-        pattern = np.stack([np.frombuffer(self.windows[w], np.uint8) for w in words])[which]
+        pattern = np.stack([points(self.windows[w]) for w in words])[which]
         step = np.arange(width, dtype=np.int32)
         row = np.zeros((len(win), width), np.int32)
         for i in range(m):
             cost = row + (text[:, i:i + width] != pattern[:, i:i + 1])  # equal or replaced
-            cost[:, :-1] = np.minimum(cost[:, :-1], row[:, 1:] + 1)  # a pattern byte left out
-            row = np.minimum.accumulate(cost - step, axis=1) + step  # text bytes put in
+            cost[:, :-1] = np.minimum(cost[:, :-1], row[:, 1:] + 1)  # a pattern character left out
+            row = np.minimum.accumulate(cost - step, axis=1) + step  # text characters put in
         return row.min(1)
 
 

@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ from wattloom.llm.common import pieces
 
 DIMENSIONS = 1024
 GRAM = 3
+LETTER = regex.compile(r"\p{L}")
 GAP = 0  # symbol of everything between words
 PIECE = 1 << 18  # symbols encoded at once
 
@@ -141,7 +143,8 @@ def _vectors(texts: list[str], dimensions: int, gram: int) -> tuple[np.ndarray,
     """Vectors scaled to length one, and which of them have a letter."""
     v, n = Encoder(dimensions, gram).encode(texts)
     length = np.sqrt((v.astype(np.float64) ** 2).sum(1))
-    has = (n > 0) & (length > 0)
+    # Marks count within n-grams, but a text of marks alone (as after emoji) has no letter.
+    has = (n > 0) & (length > 0) & np.array([LETTER.search(t) is not None for t in texts], bool)
     return v / np.where(has, length, 1)[:, None], has
 
 

@@ -77,11 +77,13 @@ s AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + 400 AS hi FROM c GROUP BY A
 z AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
 k AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS upto, string_agg(h[2 * before + 1:2 * lo], '' ORDER BY lo) AS kept FROM z JOIN b USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(kept || h[2 * upto + 1:]) END) AS kept_sha256
+       sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(kept || h[2 * upto + 1:]) END) AS kept_sha256,
+       decode(unhex(array_to_string(list_filter(regexp_extract_all(CASE WHEN n_spans IS NULL THEN h ELSE kept || h[2 * upto + 1:] END,
+         '[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|..'), lambda x: length(x) > 2 OR x < '80'), ''))) AS kept_text
 FROM b LEFT JOIN k USING (doc_id)""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove(documents(spark, sf_dir), keep_first=False)
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept_text")
 
 
 @query("op4_directly_addressable_codes")

@@ -298,9 +298,9 @@ def ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, **options) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) of every row: the bytes that no removed string covers.
+    """(id, n_bytes, n_removed, n_spans, kept binary, kept_text) of every row: the bytes that no removed string covers.
 
-    ``kept`` may end or begin within a character, as strings are of bytes.
+    ``kept`` may end or begin within a character, as strings are of bytes; ``kept_text`` leaves such parts of characters out.
     """
     kind = docs.schema[id_col].dataType
     found = ranges(docs, id_col, text_col, length, keep_first, **options)
@@ -309,7 +309,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), text.alias("t")).alias("d")
     rows = rows.join(found.alias("f"), F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.x") == F.col("f.x")), "left").select("d.id", "d.t", "f.r")
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-                           T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
+                           T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "t"):
@@ -318,14 +318,15 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 data = t.encode("utf-8")
                 r = part.column("r")[k]
                 if not r.is_valid or not len(r):
-                    out.append((len(data), 0, 0, data))
+                    out.append((len(data), 0, 0, data, t))
                     continue
                 lo = np.array(r.values.field("lo"), np.int64)
                 edge = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, np.array(r.values.field("hi"), np.int64) + length - 1, -1)
                 gone = np.cumsum(edge)[:len(data)] > 0
-                out.append((len(data), int(gone.sum()), len(_runs(gone)[0]), np.frombuffer(data, np.uint8)[~gone].tobytes()))
-            cols = [pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                out.append((len(data), int(gone.sum()), len(_runs(gone)[0]), kept, kept.decode("utf-8", "ignore")))
+            cols = [pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *cols], names=schema.names)
     return rows.mapInArrow(run, schema)
