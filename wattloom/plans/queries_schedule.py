@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.columns import local_time, minute_of_day
 from wattloom.operators import intervals, reads
 from wattloom.operators import schedule as K
+from wattloom.operators import schedule_limits as L
 from wattloom.plans.common import S, fragment, query
 
 FIRST_DAY, LAST_DAY = "2024-01-02", "2024-01-30"
@@ -382,3 +383,96 @@ def _(p):
     kg = p.production().where("quality = 'GOOD'").groupBy(F.concat_ws("|", "machine_id", day).alias("plan_id")).agg(F.sum("qty_good_kg").alias("kg"))
     df = plans(p).join(n, "plan_id", "left").join(kg, "plan_id", "left")
     return df.select("plan_id", K.required_heats(F.col("kg"), F.coalesce("n", F.lit(0))).cast("long").alias("required_heats"))
+
+
+# -- shifting within a plan's own limits ------------------------------------------
+def limited(p):
+    windows, maintenance, tasks = _limits(p)
+    return p.stage("plans_limited", lambda: L.shift_within_limits(
+        templates(p), constraints(p), windows, maintenance, tasks.withColumn("power_kw", F.lit(15.0)), powers(p), model(p), in_force(p), site_id=S.SITE,
+        stage=lambda name, df: p.stage(name, lambda: df)))
+
+
+fragment("f_limw", """
+SELECT c.plan_id, i AS heat_no, coalesce(o.charge_kg, d.charge_kg) AS charge_kg, coalesce(o.heating_slots, d.heating_slots) AS h, coalesce(o.melting_slots, d.melting_slots) AS m,
+ coalesce(o.min_hold_slots, d.min_hold_slots) AS o
+FROM (SELECT *, unnest(range(0, n_heats)) AS i FROM f_cons) c LEFT JOIN (SELECT plan_id, count(*) AS n FROM f_tpl GROUP BY 1) k USING (plan_id)
+LEFT JOIN f_tpl o ON o.plan_id = c.plan_id AND o.heat_no = i AND k.n = c.n_heats LEFT JOIN f_tpl d ON d.plan_id = c.plan_id AND d.heat_no = 0
+""")
+fragment("f_limp", """
+SELECT c.*, b_prod, b_heating, b_holding, b_idle, kw_h, kw_m, kw_o, t.t_dur, t.ws, t.we,
+ coalesce(greatest(kw_h, kw_m, kw_o) + CASE WHEN t_dur IS NULL THEN 0 ELSE 15 END > peak_cap_kw + 1e-9, FALSE) AS binds
+FROM f_cons c JOIN f_bl b ON b.machine_id = c.machine_id AND b.machine_type = 'furnace'
+LEFT JOIN (SELECT machine_id, coalesce(max(median_kw) FILTER (state = 'heating'), 0) AS kw_h, coalesce(max(median_kw) FILTER (state = 'melting'), 0) AS kw_m,
+  coalesce(max(median_kw) FILTER (state = 'holding'), 0) AS kw_o FROM f_med GROUP BY 1) d ON d.machine_id = c.machine_id
+LEFT JOIN f_auxtask t ON t.plan_id = c.plan_id
+""")
+fragment("f_limprice", "SELECT minute // 15 AS slot, 1.0::DOUBLE + 1.0::DOUBLE * rate AS price FROM f_min WHERE minute % 15 = 0")
+fragment("f_limlab", """
+SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY aux_cost, aux) AS best FROM (
+ SELECT p.plan_id, s AS aux, (SELECT sum(CAST(round(price * 15.0::DOUBLE * 0.25::DOUBLE * 1000000) AS BIGINT)) FROM f_limprice WHERE slot >= s AND slot < s + t_dur) AS aux_cost
+ FROM (SELECT *, unnest(range(ws, greatest(ws, least(we, 96) - t_dur + 1))) AS s FROM f_limp WHERE t_dur IS NOT NULL) p WHERE NOT (s < 24 AND 20 < s + t_dur)
+ UNION ALL SELECT plan_id, -1, 0 FROM f_limp WHERE t_dur IS NULL)
+""")
+fragment("f_limslot", """
+SELECT plan_id, aux, aux_cost, slot, sum(ch) OVER w AS ch, sum(co) OVER w AS co, sum(vh) OVER w AS vh, sum(vm) OVER w AS vm, sum(vo) OVER w AS vo FROM (
+ SELECT p.plan_id, aux, aux_cost, slot, CAST(round(price * ((b_heating - b_idle) * 0.25::DOUBLE) * 1000000) AS BIGINT) AS ch, CAST(round(price * ((b_holding - b_idle) * 0.25::DOUBLE) * 1000000) AS BIGINT) AS co,
+  CASE WHEN aux >= 0 AND slot >= aux AND slot < aux + t_dur THEN 15 ELSE 0 END AS kw,
+  CASE WHEN kw_h + kw > peak_cap_kw + 1e-9 THEN 1 ELSE 0 END AS vh, CASE WHEN kw_m + kw > peak_cap_kw + 1e-9 THEN 1 ELSE 0 END AS vm, CASE WHEN kw_o + kw > peak_cap_kw + 1e-9 THEN 1 ELSE 0 END AS vo
+ FROM f_limp p JOIN f_limlab l ON l.plan_id = p.plan_id AND (p.binds OR l.best = 1) CROSS JOIN f_limprice) WINDOW w AS (PARTITION BY plan_id, aux ORDER BY slot)
+""")
+fragment("f_limmelt", """
+SELECT plan_id, heat_no, slot, sum(cm) OVER (PARTITION BY plan_id, heat_no ORDER BY slot) AS cm FROM (
+ SELECT w.plan_id, heat_no, slot, CAST(round(price * (b_prod * charge_kg / greatest(m, 1) - b_idle * 0.25::DOUBLE) * 1000000) AS BIGINT) AS cm
+ FROM f_limw w JOIN f_limp USING (plan_id) CROSS JOIN f_limprice)
+""")
+# Every place of every heat, with and without extra heating: cost of the slots it takes over idling.
+fragment("f_limopt", """
+SELECT x.plan_id, x.aux, x.heat_no, x.r, x.s, x.e,
+ (b.ch - coalesce(a.ch, 0)) + (c.cm - coalesce(mm.cm, 0)) + (d.co - c2.co) AS cost
+FROM (SELECT l.plan_id, l.aux, w.heat_no, r, s, s + w.h + r AS m0, s + w.h + r + w.m AS m1, s + w.h + r + w.m + w.o AS e
+ FROM (SELECT DISTINCT plan_id, aux FROM f_limslot) l JOIN f_limw w USING (plan_id), (SELECT unnest([0, 1]) AS r), (SELECT unnest(range(0, 96)) AS s)) x
+LEFT JOIN f_limslot a ON a.plan_id = x.plan_id AND a.aux = x.aux AND a.slot = s - 1
+JOIN f_limslot b ON b.plan_id = x.plan_id AND b.aux = x.aux AND b.slot = m0 - 1
+JOIN f_limslot c2 ON c2.plan_id = x.plan_id AND c2.aux = x.aux AND c2.slot = m1 - 1
+JOIN f_limslot d ON d.plan_id = x.plan_id AND d.aux = x.aux AND d.slot = e - 1
+JOIN f_limmelt c ON c.plan_id = x.plan_id AND c.heat_no = x.heat_no AND c.slot = m1 - 1
+LEFT JOIN f_limmelt mm ON mm.plan_id = x.plan_id AND mm.heat_no = x.heat_no AND mm.slot = m0 - 1
+WHERE e <= CASE WHEN s < 20 THEN 20 WHEN s < 24 THEN s WHEN s < 50 THEN 50 ELSE 96 END
+ AND b.vh = coalesce(a.vh, 0) AND c2.vm = b.vm AND d.vo = c2.vo
+""")
+fragment("f_limdp", """
+SELECT * FROM (WITH RECURSIVE dp(plan_id, aux, i, e, cost, path) AS (
+ SELECT plan_id, aux, 0, e, min(cost), min([s, r]) FROM f_limopt WHERE heat_no = 0 AND r = 0 GROUP BY plan_id, aux, e
+ UNION ALL
+ SELECT x.plan_id, x.aux, x.i, x.e, min(x.cost), arg_min(x.path, {'c': x.cost, 'p': x.path}) FROM (
+  SELECT dp.plan_id, dp.aux, dp.i + 1 AS i, o.e, dp.cost + o.cost AS cost, dp.path || [o.s, o.r] AS path
+  FROM dp JOIN f_limopt o ON o.plan_id = dp.plan_id AND o.aux = dp.aux AND o.heat_no = dp.i + 1 AND o.s >= dp.e AND o.r = CASE WHEN o.s - dp.e > 8 THEN 1 ELSE 0 END) x
+ GROUP BY x.plan_id, x.aux, x.i, x.e) SELECT * FROM dp)
+""")
+fragment("f_limbest", """
+SELECT p.plan_id, p.machine_id, p.n_heats, z.z.c AS cost, z.z.a AS aux, z.z.p AS path FROM f_limp p LEFT JOIN (
+ SELECT plan_id, min({'c': cost + aux_cost, 'a': aux, 'p': path}) AS z FROM (
+  SELECT d.plan_id, d.aux, l.aux_cost, d.cost, d.path FROM f_limdp d JOIN f_cons c ON c.plan_id = d.plan_id AND d.i = c.n_heats - 1 JOIN f_limlab l ON l.plan_id = d.plan_id AND l.aux = d.aux
+  UNION ALL SELECT DISTINCT s.plan_id, s.aux, s.aux_cost, 0, []::BIGINT[] FROM f_limslot s JOIN f_cons c ON c.plan_id = s.plan_id AND c.n_heats = 0) GROUP BY 1) z USING (plan_id)
+""")
+
+
+@query("shift_within_limits", """
+SELECT plan_id, CASE WHEN cost IS NULL THEN 'INFEASIBLE' WHEN n_heats = 0 THEN 'EMPTY' ELSE 'SHIFTED' END AS status, round(cost / 1000000.0, 4) AS objective,
+ array_to_string(list_transform(range(1, len(path) + 1, 2), lambda k: path[k] || '+' || path[k + 1]), ' ') AS starts, CASE WHEN aux >= 0 THEN aux END AS aux_start FROM f_limbest
+""")
+def _(p):
+    starts = F.array_join(F.transform("heats", lambda h: F.concat(h["start_slot"].cast("string"), F.lit("+"), h["reheat_slots"].cast("string"))), " ")
+    return limited(p).select("plan_id", "status", "objective", starts.alias("starts"), F.get("aux", F.lit(0))["start_slot"].alias("aux_start"))
+
+
+@query("shift_within_limits_checked", """
+SELECT plan_id, CASE WHEN cost IS NULL THEN 'INFEASIBLE' WHEN n_heats = 0 THEN 'EMPTY' ELSE 'SHIFTED' END AS status, CAST(0 AS BIGINT) AS n_violations FROM f_limbest
+""")
+def _(p):
+    windows, maintenance, tasks = _limits(p)
+    done = limited(p)
+    good = done.where("status <> 'INFEASIBLE'").select("plan_id")
+    wrong = K.validate_schedules(L.placed_heats(done), L.placed_aux(done), constraints(p).join(good, "plan_id", "left_semi"), L.wanted_templates(constraints(p), templates(p)), windows, maintenance, tasks, powers(p))
+    return done.select("plan_id", "status").join(wrong.groupBy("plan_id").agg(F.count("*").alias("n_violations")), "plan_id", "left").na.fill(0, ["n_violations"])
