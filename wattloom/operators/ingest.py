@@ -102,7 +102,14 @@ def validate_telemetry(df: DataFrame, machines: DataFrame, *, now: str, stored:
                        skew_s: int = C.CLOCK_SKEW_S, spike_multiple: float = C.SPIKE_MULTIPLE,
                        chunk: int = SEQ_CHUNK) -> DataFrame:
     """Every reading with ``quality`` and ``quality_reasons`` (bad reasons first)."""
-    df = with_arrival_state(df, stored, chunk).join(machines.select("machine_id", "rated_power_kw"), "machine_id", "left")
+    return verdicts(with_arrival_state(df, stored, chunk), machines, now=now, backfill=backfill, stale_after_s=stale_after_s,
+                    skew_s=skew_s, spike_multiple=spike_multiple)
+
+
+def verdicts(df: DataFrame, machines: DataFrame, *, now: str, backfill: bool = False, stale_after_s: int = C.STALE_AFTER_S,
+             skew_s: int = C.CLOCK_SKEW_S, spike_multiple: float = C.SPIKE_MULTIPLE) -> DataFrame:
+    """The rules row by row, over readings that already carry their arrival state."""
+    df = df.join(machines.select("machine_id", "rated_power_kw"), "machine_id", "left")
     bad = compact(*impossible_reasons(), future_reason(now, skew_s), counter_reason())
     stale = [] if backfill else [stale_reason(now, stale_after_s)]
     suspect = compact(*stale, out_of_order_reason(), spike_reason(spike_multiple))

@@ -57,36 +57,53 @@ def _reasons(min_coverage_pct: float) -> list[Column]:
     ]
 
 
-def bucket_readings(tel: DataFrame, start: str, end: str, interval_s: int) -> DataFrame:
-    """The single aggregate over raw readings (one shuffle of partial rows)."""
+def reading_aggregates() -> list[Column]:
+    """What a bucket keeps of its readings: counts, extremes and means that combine on the map side (and in a state store)."""
     state = F.coalesce("machine_state", F.lit("unknown"))
     per_state = [F.count_if((F.col("quality") == "GOOD") & (state == s)).alias(f"_n_{s}") for s in (*C.STATES, "unknown")]
-    return (in_window(tel, "ts", start, end, interval_s).groupBy("machine_id", "k").agg(
-        F.count_if(F.col("quality") == "GOOD").alias("n_good"),
-        F.count_if(F.col("quality") == "BAD").alias("n_bad"),
-        F.min(_good(F.col("ts"))).alias("first_good"), F.max(_good(F.col("ts"))).alias("last_good"),
-        F.count(_good(F.col("energy_kwh"))).alias("_n_counter"),
-        (F.max(_good(F.col("energy_kwh"))) - F.min(_good(F.col("energy_kwh")))).alias("_kwh"),
-        F.max(_good(F.col("power_kw"))).alias("power_max_kw"),
-        F.avg(_good(F.col("power_kw"))).alias("power_mean_kw"),
-        F.avg(_good(F.col("power_factor"))).alias("pf_mean"), *per_state))
+    return [F.count_if(F.col("quality") == "GOOD").alias("n_good"),
+            F.count_if(F.col("quality") == "BAD").alias("n_bad"),
+            F.min(_good(F.col("ts"))).alias("first_good"), F.max(_good(F.col("ts"))).alias("last_good"),
+            F.count(_good(F.col("energy_kwh"))).alias("_n_counter"),
+            (F.max(_good(F.col("energy_kwh"))) - F.min(_good(F.col("energy_kwh")))).alias("_kwh"),
+            F.max(_good(F.col("power_kw"))).alias("power_max_kw"),
+            F.avg(_good(F.col("power_kw"))).alias("power_mean_kw"),
+            F.avg(_good(F.col("power_factor"))).alias("pf_mean"), *per_state]
+
+
+def production_aggregates() -> list[Column]:
+    return [F.sum("qty_good_kg").alias("good_production_kg"), F.sum("qty_rejected_kg").alias("rejected_production_kg"),
+            F.lit(True).alias("has_production_record")]
+
+
+def bucket_readings(tel: DataFrame, start: str, end: str, interval_s: int) -> DataFrame:
+    """The single aggregate over raw readings (one shuffle of partial rows)."""
+    return in_window(tel, "ts", start, end, interval_s).groupBy("machine_id", "k").agg(*reading_aggregates())
 
 
 def bucket_production(prod: DataFrame, start: str, end: str, interval_s: int) -> DataFrame:
     return (in_window(prod.where(F.col("quality") == "GOOD"), "window_start", start, end, interval_s)
-            .groupBy("machine_id", "k").agg(F.sum("qty_good_kg").alias("good_production_kg"),
-                                            F.sum("qty_rejected_kg").alias("rejected_production_kg"),
-                                            F.lit(True).alias("has_production_record")))
+            .groupBy("machine_id", "k").agg(*production_aggregates()))
 
 
 def build_intervals(tel: DataFrame, prod: DataFrame, machines: DataFrame, *, start: str, end: str,
                     interval_s: int = C.ENERGY_INTERVAL_S, min_coverage_pct: float = C.MIN_COVERAGE_PCT) -> DataFrame:
     """Energy, state hours and production per machine and bucket, with completeness."""
-    hours = {f"hours_{s}": F.when(F.col("n_good") > 0, py_round(F.col(f"_n_{s}") / F.col("n_good") * (interval_s / 3600.0), 4))
-             .otherwise(0.0) for s in (*C.STATES, "unknown")}
     df = (interval_grid(machines, start, end, interval_s)
           .join(bucket_readings(tel, start, end, interval_s), ["machine_id", "k"], "left")
           .join(bucket_production(prod, start, end, interval_s), ["machine_id", "k"], "left"))
+    return finish_intervals(df, interval_s, min_coverage_pct).select(
+        "machine_id", "machine_type", "rated_power_kw", "k", "window_start", "window_end", *INTERVAL_COLUMNS)
+
+
+INTERVAL_COLUMNS = ["complete", "incomplete_reasons", "energy_kwh", *HOUR_COLUMNS, "n_good", "n_bad", "coverage_pct", "good_production_kg",
+                    "rejected_production_kg", "has_production_record", "power_max_kw", "power_mean_kw", "pf_mean"]
+
+
+def finish_intervals(df: DataFrame, interval_s: int, min_coverage_pct: float = C.MIN_COVERAGE_PCT) -> DataFrame:
+    """Columns of an interval from its bucket's aggregates (null where a side has no row)."""
+    hours = {f"hours_{s}": F.when(F.col("n_good") > 0, py_round(F.col(f"_n_{s}") / F.col("n_good") * (interval_s / 3600.0), 4))
+             .otherwise(0.0) for s in (*C.STATES, "unknown")}
     df = df.withColumns({"n_good": F.coalesce("n_good", F.lit(0).cast("long")), "n_bad": F.coalesce("n_bad", F.lit(0).cast("long")),
                          "has_production_record": F.coalesce("has_production_record", F.lit(False)),
                          "rejected_production_kg": F.coalesce("rejected_production_kg", F.lit(0.0)),
@@ -94,11 +111,7 @@ def build_intervals(tel: DataFrame, prod: DataFrame, machines: DataFrame, *, sta
     df = df.withColumns({"coverage_pct": _coverage(interval_s), **hours})
     missing = F.when(F.col("energy_kwh").isNull(), "cumulative energy counter unavailable (< 2 GOOD readings)")
     df = df.withColumn("incomplete_reasons", compact(*_reasons(min_coverage_pct), missing))
-    df = df.withColumn("complete", F.size("incomplete_reasons") == 0)
-    return df.select("machine_id", "machine_type", "rated_power_kw", "k", "window_start", "window_end", "complete",
-                     "incomplete_reasons", "energy_kwh", *HOUR_COLUMNS, "n_good", "n_bad", "coverage_pct",
-                     "good_production_kg", "rejected_production_kg", "has_production_record",
-                     "power_max_kw", "power_mean_kw", "pf_mean")
+    return df.withColumn("complete", F.size("incomplete_reasons") == 0)
 
 
 def hours_by_state(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wattloom.plans import queries_sources as QX
+from wattloom.plans.base_sql import STATES
 from wattloom.plans.common import S, query
 from wattloom.streaming import ingest as T
 
@@ -20,20 +21,6 @@ def _reading_files(p):
     return T.read_files(p.spark, path, T.READING_SCHEMA)
 
 
-def _unique_files(p):
-    """Deduplicated readings as files."""
-    path = _folder(p, "unique")
-    if "stream_unique" not in p.marks:
-        p.telemetry().select(*[c.split()[0] for c in T.READING_SCHEMA.split(", ")]).write.mode("overwrite").parquet(path)
-        p.marks.add("stream_unique")
-    return T.read_files(p.spark, path, T.READING_SCHEMA)
-
-
-def _sink(p, df, name, mode="append"):
-    path = _folder(p, f"out_{name}")
-    T.run_to_end(df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", _folder(p, f"ckpt_{name}")))
-    return p.spark.read.parquet(path)
-
 
 @query("stream_ingest", "SELECT 'accepted' AS part, count(*) AS n FROM f_reason, LATERAL (SELECT unnest(range(0, CASE WHEN m = 90 THEN 2 ELSE 1 END))) WHERE reason IS NULL AND m <> 140 AND machine_id <> 'pump-01' "
        "UNION ALL SELECT reason, count(*) FROM f_reason WHERE reason IS NOT NULL GROUP BY 1 "
@@ -49,39 +36,84 @@ def _(p):
     return good.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("part"), "n").unionByName(dead.groupBy(F.col("reason").alias("part")).agg(F.count("*").alias("n")))
 
 
-@query("stream_dedup", "SELECT machine_id, count(*) AS n, count(DISTINCT ts) AS n_ts FROM f_unique GROUP BY 1")
+VALIDATED_SCHEMA = f"{T.READING_SCHEMA}, quality string, quality_reasons array<string>"
+EPOCHS = 4
+_STORED_DAYS = 3  # of the dedup query: that many first days count as stored before the stream began
+
+
+def _landed(p):
+    """All reading streams over one landing folder that grows while they run, so that each has several epochs.
+
+    Readings land in ``EPOCHS`` parts by ``seq``, redelivered copies and late rows among them; after each part every stream
+    is started from its checkpoint and runs to the end of what is there. The last part ends in a mark of an unknown
+    machine, days later, which lets the watermark pass the last readings.
+    """
+    if "landed" in p.marks:
+        return
+    land, valid, made = _folder(p, "landing"), _folder(p, "validated_out"), _folder(p, "production")
+    readings, prod = p.readings(), p.production().select(*_names(T.PRODUCTION_SCHEMA))
+    span = readings.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    part = F.least(F.lit(EPOCHS - 1), F.floor((F.col("seq") - F.col("lo")) * EPOCHS / (F.col("hi") - F.col("lo") + 1)))
+    hour = F.floor((F.unix_seconds("window_start") - F.unix_seconds("first")) * EPOCHS / (F.unix_seconds("last") - F.unix_seconds("first") + 1))
+    stored_before = F.date_add(F.to_date("first"), _STORED_DAYS)
+    stored = p.unique().crossJoin(span.select("first")).where(F.col("ts") < stored_before).select("machine_id", "ts")
+    far = span.select(F.lit("end").alias("machine_id"), (F.col("hi") + 1).alias("seq"), (F.col("last") + F.expr("INTERVAL '3' DAY")).alias("ts"))
+    for i in range(EPOCHS):
+        rows = readings.crossJoin(span.select("lo", "hi")).where(part == i).select(*_names(T.READING_SCHEMA))
+        records = prod.crossJoin(span.select("first", "last")).where(F.greatest(F.lit(0), F.least(F.lit(EPOCHS - 1), hour)) == i).select(*_names(T.PRODUCTION_SCHEMA))
+        if i == EPOCHS - 1:
+            rows = rows.unionByName(_marked(far, T.READING_SCHEMA))
+            records = records.unionByName(_marked(far.select("machine_id", F.col("ts").alias("window_start"), F.lit("GOOD").alias("quality")), T.PRODUCTION_SCHEMA))
+        rows.write.mode("append").parquet(land)
+        records.write.mode("append").parquet(made)
+        new = T.read_files(p.spark, land, T.READING_SCHEMA)
+        T.run_to_end(_to_files(p, T.stream_dedup(new, stored), "dedup"),
+                     T.stream_validate(new, p.machines, valid, _folder(p, "validate_state"), _folder(p, "ckpt_validate"), now=S.END, backfill=True, insert=True))
+        judged = T.read_files(p.spark, valid, VALIDATED_SCHEMA)
+        T.run_to_end(T.stream_state_spans(judged, _folder(p, "spans_out"), _folder(p, "spans_state"), _folder(p, "ckpt_spans")),
+                     _to_files(p, T.stream_intervals(judged, T.read_files(p.spark, made, T.PRODUCTION_SCHEMA), p.machines, interval_s=p.interval_s), "intervals"))
+    p.marks.add("landed")
+
+
+def _names(schema):
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _marked(df, schema):
+    """The mark's columns, all others null."""
+    have = set(df.columns)
+    return df.select(*[F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in schema.split(", "))])
+
+
+def _to_files(p, df, name):
+    return df.writeStream.outputMode("append").format("parquet").option("path", _folder(p, f"out_{name}")).option("checkpointLocation", _folder(p, f"ckpt_{name}"))
+
+
+@query("stream_dedup", f"""
+SELECT machine_id, ts, seq, round(power_kw, 4) AS power_kw, round(energy_kwh, 4) AS energy_kwh, machine_state, source FROM f_unique
+WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL {_STORED_DAYS} DAY FROM f_unique)
+""")
 def _(p):
-    df = p.stage("stream_dedup", lambda: _sink(p, T.stream_dedup(_reading_files(p), "60 days"), "dedup"))
-    return df.groupBy("machine_id").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("n_ts"))
+    _landed(p)
+    return p.spark.read.parquet(_folder(p, "out_dedup")).where("machine_id <> 'end'").select("machine_id", "ts", "seq", "power_kw", "energy_kwh", "machine_state", "source")
 
 
 @query("stream_validate", "SELECT machine_id, seq, quality, array_to_string(quality_reasons, '; ') AS quality_reasons FROM f_tel")
 def _(p):
-    out = _folder(p, "validated_out")
-    if "stream_validate" not in p.marks:
-        stream = _unique_files(p)
-        T.run_to_end(T.stream_validate(stream, p.machines, out, _folder(p, "validate_state"), _folder(p, "ckpt_validate"), now=S.END, backfill=True))
-        p.marks.add("stream_validate")
-    return p.spark.read.parquet(out).select("machine_id", "seq", "quality", "quality_reasons")
+    _landed(p)
+    return p.spark.read.parquet(_folder(p, "validated_out")).where("machine_id <> 'end'").select("machine_id", "seq", "quality", "quality_reasons")
 
 
-@query("stream_intervals", """
-SELECT machine_id, k, n_good, n_bad, round(CASE WHEN n_counter >= 2 THEN kwh END, 4) AS energy_kwh, round(power_max_kw, 4) AS power_max_kw
-FROM f_perbucket
+@query("stream_intervals", f"""
+SELECT machine_id, window_start, window_end, complete, array_to_string(incomplete_reasons, '; ') AS incomplete_reasons,
+ round(energy_kwh, 4) AS energy_kwh, {", ".join(f"hours_{s}" for s in STATES)}, n_good, n_bad, coverage_pct, round(good_production_kg, 4) AS good_production_kg,
+ round(rejected_production_kg, 4) AS rejected_production_kg, has_production_record, round(power_max_kw, 4) AS power_max_kw,
+ round(power_mean_kw, 4) AS power_mean_kw, round(pf_mean, 4) AS pf_mean
+FROM f_iv WHERE has_production_record OR (machine_id, k) IN (SELECT (machine_id, k) FROM f_perbucket)
 """)
 def _(p):
-    def build():
-        src = _folder(p, "validated")
-        rows = p.telemetry().select("machine_id", "ts", "quality", "energy_kwh", "power_kw")
-        # A mark well after the last reading lets the watermark pass the last bucket; its own bucket stays open.
-        far = F.max("ts") + F.make_dt_interval(F.lit(0), F.lit(3), F.lit(0), F.lit(p.interval_s))
-        mark = rows.agg(F.lit("end").alias("machine_id"), far.alias("ts"), F.lit("GOOD").alias("quality"), F.lit(None).cast("double").alias("energy_kwh"), F.lit(None).cast("double").alias("power_kw"))
-        rows.unionByName(mark).write.mode("overwrite").parquet(src)
-        schema = "machine_id string, ts timestamp, quality string, energy_kwh double, power_kw double"
-        return _sink(p, T.stream_intervals(T.read_files(p.spark, src, schema), interval_s=p.interval_s), "intervals")
-    df = p.stage("stream_intervals", build)
-    k = F.expr(f"(unix_seconds(window_start) - unix_seconds(timestamp'2024-01-01')) div {p.interval_s}").alias("k")
-    return df.select("machine_id", k, "n_good", "n_bad", "energy_kwh", "power_max_kw")
+    _landed(p)
+    return p.spark.read.parquet(_folder(p, "out_intervals")).drop("machine_type", "rated_power_kw")
 
 
 @query("stream_state_spans", """
@@ -89,11 +121,8 @@ SELECT machine_id, machine_state AS state, ts AS ts_start, te AS ts_end FROM (SE
  SELECT *, lag(machine_state) OVER (PARTITION BY machine_id ORDER BY seq) AS prev FROM f_unique WHERE machine_state IS NOT NULL) WHERE prev IS NULL OR prev <> machine_state) WHERE te IS NOT NULL
 """)
 def _(p):
-    out = _folder(p, "spans_out")
-    if "stream_spans" not in p.marks:
-        T.run_to_end(T.stream_state_spans(_unique_files(p), out, _folder(p, "spans_state"), _folder(p, "ckpt_spans")))
-        p.marks.add("stream_spans")
-    return p.spark.read.parquet(out).select("machine_id", "state", "ts_start", "ts_end")
+    _landed(p)
+    return p.spark.read.parquet(_folder(p, "spans_out")).select("machine_id", "state", "ts_start", "ts_end")
 
 
 @query("stream_detect", "SELECT rule_id, count(*) AS n_events, max(window_end) AS newest FROM f_ev GROUP BY 1")

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom import config as C
-from wattloom.operators import ingest
+from wattloom.operators import ingest, intervals
 from wattloom.sources import messages
 
 MESSAGE_SCHEMA = "seq long, topic string, payload string"
+PRODUCTION_SCHEMA = "machine_id string, window_start timestamp, qty_good_kg double, qty_rejected_kg double, quality string"
 READING_SCHEMA = ("machine_id string, ts timestamp, seq long, voltage_v double, current_a double, power_kw double, reactive_power_kvar double, "
                   "power_factor double, energy_kwh double, vibration_mm_s double, temperature_c double, machine_state string, source string")
 
@@ -42,64 +43,107 @@ def stream_ingest(stream: DataFrame, machines: DataFrame, accepted: str, dead: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def stream_dedup(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Redelivered readings inside the delay are no-ops."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["machine_id", "ts"])
+def stream_dedup(stream: DataFrame, stored: DataFrame | None = None, delay: str = "1 day") -> DataFrame:
+    """First arrival (smallest ``seq``) of each (machine, ts) that is not stored yet, given out once the watermark has passed it.
+
+    Keys that are stored already are dropped before they take up state. The state is one row per open (machine, ts), so a
+    machine with a third of all readings spreads over all tasks; it goes when the watermark passes. A copy that comes later
+    than ``delay`` changes nothing. A *first* reading that comes later is not seen here: ``stream_validate`` with ``insert``
+    compares with the stored keys of any age.
+    """
+    stream = stream.withWatermark("ts", delay)
+    if stored is not None:
+        stream = stream.join(stored.select(*ingest.KEY), ingest.KEY, "left_anti")
+    rest = [c for c in stream.columns if c not in ingest.KEY]
+    return stream.groupBy(*ingest.KEY).agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select(*ingest.KEY, "_r.*")
+
+
+def _state_before(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """State rows the previous epoch left (none before the first).
+
+    Two folders take turns: an epoch reads the one and overwrites the other, so a replayed epoch still finds its
+    predecessor, and nothing piles up.
+    """
+    return None if epoch == 0 else spark.read.parquet(f"{path}/turn={(epoch - 1) % 2}")
 
 
-def _epoch_state(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    """State rows the previous epoch left (none before the first)."""
-    return None if epoch == 0 else spark.read.parquet(f"{path}/epoch={epoch - 1}")
+def _write_state(df: DataFrame, path: str, epoch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/turn={epoch % 2}")
+
+
+def stored_keys(batch: DataFrame, out: str, epoch: int) -> DataFrame | None:
+    """Keys that earlier epochs stored on the days this batch touches; other days' folders are not read.
+
+    The days go through the driver: one short value per calendar day that has a reading in the batch.
+    """
+    if epoch == 0:
+        return None
+    days = [r[0] for r in batch.select(F.to_date("ts").alias("d")).distinct().collect()]
+    keys = batch.sparkSession.read.schema("machine_id string, ts timestamp, epoch long, day date").parquet(out)
+    return keys.where(F.col("day").isin(days) & (F.col("epoch") < epoch)).select(*ingest.KEY)
 
 
 def stream_validate(stream: DataFrame, machines: DataFrame, out: str, state: str, checkpoint: str, *, now: str | None = None,
-                    backfill: bool = False, spike_multiple: float = C.SPIKE_MULTIPLE):
+                    backfill: bool = False, spike_multiple: float = C.SPIKE_MULTIPLE, insert: bool = False):
     """Batch validation per micro-batch, seeded with each machine's last timestamp and highest counter.
 
-    The micro-batch goes through the same chunked scans as a batch job, so a machine that
-    fills it does not end up in one task. ``backfill`` leaves out the stale rule, which a
-    live stream applies. State is one row per machine and epoch; a
-    replayed epoch reads the same predecessor and overwrites its own folders.
+    The micro-batch goes through the same chunked scans as a batch job, so a machine that fills it does not end up in one
+    task, as it would with one keyed state per machine. ``backfill`` leaves out the stale rule, which a live stream applies.
+    With ``insert``, redelivered readings are no-ops at any age: the first arrival within the batch is kept and compared with
+    the keys stored so far; output folders are by day, then epoch, and only the days of the batch are read for that. State is
+    one row per machine; a replayed epoch reads the same predecessor and overwrites its own folders.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        before = _epoch_state(batch.sparkSession, state, epoch)
+        spark = batch.sparkSession
+        before = _state_before(spark, state, epoch)
         at = now or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        done = ingest.validate_telemetry(batch, machines, now=at, stored=before, backfill=backfill, spike_multiple=spike_multiple)
-        done.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        order = ingest.with_arrival_state(batch, before)
+        rows = ingest.first_arrivals(batch, stored_keys(batch, out, epoch)) if insert else batch
+        order = ingest.with_arrival_state(rows, before).persist()  # scanned once for rows and state
+        done = ingest.verdicts(order, machines, now=at, backfill=backfill, spike_multiple=spike_multiple)
+        if insert:
+            (done.withColumns({"day": F.to_date("ts"), "epoch": F.lit(epoch).cast("long")}).repartition("day", ingest.arrival_chunk())
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(out))
+        else:
+            done.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         seen = order.groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max(F.when(F.col("in_order"), F.col("energy_kwh"))).alias("energy_kwh"))
         if before is not None:
             seen = before.unionByName(seen).groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max("energy_kwh").alias("energy_kwh"))
-        seen.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        _write_state(seen, state, epoch)
+        order.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def stream_intervals(stream: DataFrame, *, interval_s: int = C.ENERGY_INTERVAL_S, delay: str = "2 hours") -> DataFrame:
-    """Tumbling intervals of GOOD readings, emitted once the watermark has passed.
+def stream_intervals(readings: DataFrame, production: DataFrame, machines: DataFrame, *, interval_s: int = C.ENERGY_INTERVAL_S,
+                     delay: str = "2 hours", min_coverage_pct: float = C.MIN_COVERAGE_PCT) -> DataFrame:
+    """Tumbling intervals with all columns of the batch job, emitted once the watermark of both streams has passed.
 
-    Readings later than the delay stay in the stored table as they arrived; a batch run
-    over that table picks them up.
+    Validated readings and production records are aggregated per (window, machine) in their own state stores and the
+    closed windows meet in a full outer stream-stream join; a window in which neither stream had a row does not come up.
+    Rows later than the delay stay in the stored tables as they arrived; a batch run over those picks them up.
     """
-    good = F.col("quality") == "GOOD"
-    kwh = F.when(good, F.col("energy_kwh"))
-    df = stream.withWatermark("ts", delay).groupBy(F.window("ts", f"{interval_s} seconds").alias("w"), "machine_id").agg(
-        F.count_if(good).alias("n_good"), F.count_if(F.col("quality") == "BAD").alias("n_bad"), F.count(kwh).alias("_n"), F.max(kwh).alias("_hi"), F.min(kwh).alias("_lo"),
-        F.max(F.when(good, F.col("power_kw"))).alias("power_max_kw"))
-    return df.select("machine_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_good", "n_bad",
-                     F.when(F.col("_n") >= 2, F.col("_hi") - F.col("_lo")).alias("energy_kwh"), "power_max_kw")
+    def window(ts: str):
+        return F.window(ts, f"{interval_s} seconds").alias("w")
+    left = (readings.withWatermark("ts", delay).groupBy(window("ts"), "machine_id").agg(*intervals.reading_aggregates()))
+    right = (production.where(F.col("quality") == "GOOD").withWatermark("window_start", delay)
+             .groupBy(window("window_start"), "machine_id").agg(*intervals.production_aggregates()))
+    df = left.join(right, ["w", "machine_id"], "full_outer").join(machines.select("machine_id", "machine_type", "rated_power_kw"), "machine_id")
+    df = intervals.finish_intervals(df, interval_s, min_coverage_pct)
+    return df.select("machine_id", "machine_type", "rated_power_kw", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                     *intervals.INTERVAL_COLUMNS)
 
 
 def stream_state_spans(stream: DataFrame, out: str, state: str, checkpoint: str):
     """Closed spans of equal state in arrival order; each machine's open span is carried to the next epoch."""
     def write(batch: DataFrame, epoch: int) -> None:
-        before = _epoch_state(batch.sparkSession, state, epoch)
+        before = _state_before(batch.sparkSession, state, epoch)
         rows = batch.select("machine_id", "seq", "ts", "machine_state", "source")
         if before is not None:
             held = before.select("machine_id", F.lit(-1).cast("long").alias("seq"), F.col("ts_start").alias("ts"), F.col("state").alias("machine_state"), "source")
             rows = rows.unionByName(held)
-        spans = ingest.machine_state_spans(rows)
+        spans = ingest.machine_state_spans(rows).persist()
         spans.where("ts_end is not null").drop("seq").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        spans.where("ts_end is null").write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        _write_state(spans.where("ts_end is null"), state, epoch)
+        spans.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
@@ -123,9 +167,14 @@ def stream_detect(stream: DataFrame, score: Callable[[DataFrame], DataFrame], ev
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def run_to_end(query) -> None:
-    """Processes what is there and stops (``availableNow``)."""
-    q = query.trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+def run_to_end(*queries) -> None:
+    """Processes what is there and stops (``availableNow``); several streams run side by side."""
+    running = [q.trigger(availableNow=True).start() for q in queries]
+    try:
+        for q in running:
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise q.exception()
+    finally:
+        for q in running:
+            q.stop()
