@@ -345,31 +345,31 @@ def _(p):
         F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.count("*").alias("n")).drop("run_id")
 
 
-_EVENT_SQL = """
+EVENT_SQL = """
 SELECT machine_id, rule_id, metric, level, window_start, window_end, severity, round(score, 4) AS score, round(expected_kwh, 4) AS expected_kwh,
  round(actual_kwh, 4) AS actual_kwh, round(deviation_kwh, 4) AS deviation_kwh, round(deviation_pct, 4) AS deviation_pct, n_intervals, dedup_key FROM f_ev
 """
 
 
-def _event_columns(df):
+def event_columns(df):
     return df.select("machine_id", "rule_id", "metric", "level", "window_start", "window_end", "severity", "score", "expected_kwh",
                      "actual_kwh", "deviation_kwh", "deviation_pct", "n_intervals", "dedup_key")
 
 
-@query("build_events", _EVENT_SQL)
+@query("build_events", EVENT_SQL)
 def _(p):
-    return _event_columns(anomaly.build_events(anomaly.all_flags(p.scored()), p.scored()))
+    return event_columns(anomaly.build_events(anomaly.all_flags(p.scored()), p.scored()))
 
 
-@query("detect_events", _EVENT_SQL)
+@query("detect_events", EVENT_SQL)
 def _(p):
-    return _event_columns(p.events())
+    return event_columns(p.events())
 
 
 @query("detect_events_fitted")
 def _(p):
     fits = baseline.fit_baseline(train_intervals(p)).where("status = 'OK'")
-    return _event_columns(anomaly.detect_events(baseline.score_intervals(p.intervals(), fits), start=S.TRAIN_END, end=S.END))
+    return event_columns(anomaly.detect_events(baseline.score_intervals(p.intervals(), fits), start=S.TRAIN_END, end=S.END))
 
 
 @query("worst_open_per_machine", """
@@ -471,7 +471,7 @@ def meter_scored(p):
 @query("meter_events")
 def _(p):
     scored = meter_scored(p)
-    ev = anomaly.build_events(anomaly.all_flags(scored), scored, end_col="window_start")
+    ev = anomaly.detect_events(scored, end_col="window_start")
     return ev.select("rule_id", "window_start", "window_end", "severity", "score", "deviation_pct", "n_intervals")
 
 

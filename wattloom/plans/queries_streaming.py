@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from wattloom.operators.intervals import HOUR_COLUMNS
 from wattloom.plans import queries_sources as QX
 from wattloom.plans.base_sql import STATES
 from wattloom.plans.common import S, query
+from wattloom.plans.queries_energy import EVENT_SQL, event_columns
 from wattloom.streaming import ingest as T
 
 
@@ -12,16 +14,6 @@ def _folder(p, name):
     return f"{p.root}/stream_{name}"
 
 
-def _reading_files(p):
-    """Readings as files, in arrival order (ranges of ``seq``), as a landing folder would hold them."""
-    path = _folder(p, "readings")
-    if "stream_readings" not in p.marks:
-        p.readings().repartitionByRange(4, "seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(path)
-        p.marks.add("stream_readings")
-    return T.read_files(p.spark, path, T.READING_SCHEMA)
-
-
-
 @query("stream_ingest", "SELECT 'accepted' AS part, count(*) AS n FROM f_reason, LATERAL (SELECT unnest(range(0, CASE WHEN m = 90 THEN 2 ELSE 1 END))) WHERE reason IS NULL AND m <> 140 AND machine_id <> 'pump-01' "
        "UNION ALL SELECT reason, count(*) FROM f_reason WHERE reason IS NOT NULL GROUP BY 1 "
        "UNION ALL SELECT 'unknown machine_id', count(*) FROM f_reason, LATERAL (SELECT unnest(range(0, CASE WHEN m = 90 THEN 2 ELSE 1 END))) WHERE reason IS NULL AND m <> 140 AND machine_id = 'pump-01'")
@@ -37,6 +29,9 @@ def _(p):
 
 
 VALIDATED_SCHEMA = f"{T.READING_SCHEMA}, quality string, quality_reasons array<string>"
+INTERVAL_SCHEMA = ("machine_id string, machine_type string, rated_power_kw double, window_start timestamp, window_end timestamp, complete boolean, "
+                   f"energy_kwh double, {', '.join(f'{c} double' for c in HOUR_COLUMNS)}, good_production_kg double, "
+                   "has_production_record boolean, power_max_kw double, pf_mean double")
 EPOCHS = 4
 _STORED_DAYS = 3  # of the dedup query: that many first days count as stored before the stream began
 
@@ -72,6 +67,8 @@ def _landed(p):
         judged = T.read_files(p.spark, valid, VALIDATED_SCHEMA)
         T.run_to_end(T.stream_state_spans(judged, _folder(p, "spans_out"), _folder(p, "spans_state"), _folder(p, "ckpt_spans")),
                      _to_files(p, T.stream_intervals(judged, T.read_files(p.spark, made, T.PRODUCTION_SCHEMA), p.machines, interval_s=p.interval_s), "intervals"))
+        closed = T.read_files(p.spark, _folder(p, "out_intervals"), INTERVAL_SCHEMA)
+        T.run_to_end(T.stream_detect(closed, p.baselines(), _folder(p, "events"), _folder(p, "detect_state"), _folder(p, "ckpt_detect"), interval_s=p.interval_s))
     p.marks.add("landed")
 
 
@@ -125,12 +122,9 @@ def _(p):
     return p.spark.read.parquet(_folder(p, "spans_out")).select("machine_id", "state", "ts_start", "ts_end")
 
 
-@query("stream_detect", "SELECT rule_id, count(*) AS n_events, max(window_end) AS newest FROM f_ev GROUP BY 1")
+@query("stream_detect", EVENT_SQL)
 def _(p):
-    path = _folder(p, "events")
-    if "stream_detect" not in p.marks:
-        scored = p.scored()
-        score = lambda touched: scored.join(touched, "machine_id", "left_semi")
-        T.run_to_end(T.stream_detect(_reading_files(p), score, path, _folder(p, "ckpt_detect")))
-        p.marks.add("stream_detect")
-    return p.spark.read.parquet(path).groupBy("rule_id").agg(F.count("*").alias("n_events"), F.max("window_end").alias("newest"))
+    _landed(p)
+    out, state = _folder(p, "events"), _folder(p, "detect_state")
+    last = p.spark.read.parquet(f"{out}/closed").agg(F.max("epoch")).first()[0]
+    return event_columns(T.detected_events(p.spark, out, state, last))

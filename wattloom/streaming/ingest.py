@@ -7,13 +7,12 @@ lives in its checkpoint, so a lost executor or a restart replays the same result
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom import config as C
-from wattloom.operators import ingest, intervals
+from wattloom.operators import anomaly, baseline, ingest, intervals
 from wattloom.sources import messages
 
 MESSAGE_SCHEMA = "seq long, topic string, payload string"
@@ -147,26 +146,58 @@ def stream_state_spans(stream: DataFrame, out: str, state: str, checkpoint: str)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def stream_detect(stream: DataFrame, score: Callable[[DataFrame], DataFrame], events_path: str, checkpoint: str):
-    """Each batch of touched machines: re-score, find events, append those not stored yet.
+_PROGRESS_SCHEMA = "machine_id string, k long, run_deviation long, run_idle long, trailing array<double>"
 
-    ``score`` returns scored intervals for the machines of the batch, far enough back for
-    the longest rule window. One folder per epoch keeps a replay idempotent.
-    """
-    from wattloom.operators import anomaly
-    from wattloom.sources import store
 
+def stream_detect(stream: DataFrame, baselines: DataFrame, out: str, state: str, checkpoint: str, *, interval_s: int = C.ENERGY_INTERVAL_S):
+    """Scores closed intervals as they come and keeps events up to date; nothing stored is read again but two small states.
+
+    ``stream`` gives the intervals of ``stream_intervals``, each once and each machine's in order of time (several machines
+    and any number of intervals an epoch); ``baselines`` the coefficients in force. Carried from epoch to epoch are one row
+    a machine (last bucket, lengths of the running conditions, the trailing residuals) and one per event that may still
+    grow, so the cost of an epoch does not depend on how many went before. A closed event is written once, into the folder
+    of the epoch that closed it; events still open are the state itself. ``detected_events`` reads both. An interval at or
+    before its machine's last one is not judged: it goes to ``late/``, for a batch run. A replayed epoch reads the same
+    state and overwrites its own folders.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        events = anomaly.detect_events(score(batch.select("machine_id").distinct()))
         spark = batch.sparkSession
-        known = events.select("dedup_key").limit(0)
-        folders = [f"{events_path}/epoch={e}" for e in range(epoch)]
-        if folders:
-            known = spark.read.option("ignoreMissingFiles", True).parquet(*folders).select("dedup_key")
-        store.insert_ignore(events, known, ["dedup_key"]).write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
+        progress, growing = f"{state}/progress", f"{state}/growing"
+        before = _state_before(spark, progress, epoch)
+        before = spark.createDataFrame([], _PROGRESS_SCHEMA) if before is None else before
+        old = _state_before(spark, growing, epoch)
+        k = F.floor(F.unix_seconds("window_start") / interval_s)
+        held = before.select("machine_id", F.col("k").alias("_k_before"), F.col("run_deviation").alias("_run_deviation_before"),
+                             F.col("run_idle").alias("_run_idle_before"), F.col("trailing").alias("_trailing_before"))
+        rows = batch.withColumn("k", k).join(held, "machine_id", "left")
+        late = F.col("k") <= F.col("_k_before")
+        rows.where(late).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/late/epoch={epoch}")
+        scored = baseline.score_intervals(rows.where(F.coalesce(~late, F.lit(True))), baselines).where("has_baseline")
+        inputs = anomaly.with_rule_inputs(scored, carried=True).persist()  # for the flags and for the state
+        trailing = F.max_by("_trailing", F.when(F.col("residual").isNotNull(), F.col("k")))
+        now = inputs.groupBy("machine_id").agg(
+            F.max("k").alias("k"), F.max_by("run_deviation", "k").alias("run_deviation"), F.max_by("run_idle", "k").alias("run_idle"),
+            F.coalesce(trailing, F.first("_trailing_before")).alias("trailing"))
+        after = before.join(now, "machine_id", "left_anti").unionByName(now).persist()
+        parts = anomaly.flagged_parts(inputs)
+        parts = parts if old is None else anomaly.joined_parts(parts.unionByName(old))
+        ends = after.select("machine_id", F.col("k").alias("_last"))
+        parts = parts.join(ends, "machine_id").persist()
+        grows = F.col("k_last") == F.col("_last")
+        anomaly.events_of(parts.where(~grows)).write.mode("overwrite").parquet(f"{out}/closed/epoch={epoch}")
+        _write_state(parts.where(grows).drop("_last"), growing, epoch)
+        _write_state(after, progress, epoch)
+        for df in (parts, after, inputs):
+            df.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def detected_events(spark: SparkSession, out: str, state: str, epoch: int) -> DataFrame:
+    """All events as of the given (last finished) epoch: the closed ones and those that may still grow."""
+    closed = spark.read.parquet(f"{out}/closed").where(F.col("epoch") <= epoch).drop("epoch")
+    return closed.unionByName(anomaly.events_of(_state_before(spark, f"{state}/growing", epoch + 1)))
+
+
 def run_to_end(*queries) -> None:
     """Processes what is there and stops (``availableNow``); several streams run side by side."""
     running = [q.trigger(availableNow=True).start() for q in queries]
