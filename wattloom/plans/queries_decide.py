@@ -14,9 +14,9 @@ _SIDE = ["energy_kwh", "peak_kw", "cost_inr", "production_kg", "holding_kwh", "i
 
 fragment("f_run", """
 SELECT c.plan_id AS run_id, c.machine_id, c.day - INTERVAL 330 MINUTE AS horizon_start, c.day + INTERVAL 1110 MINUTE AS horizon_end,
- CASE day(c.day) % 7 WHEN 3 THEN 'INFEASIBLE' WHEN 5 THEN 'FEASIBLE' ELSE 'OPTIMAL' END AS status,
- """ + ", ".join(f"c.{s} AS cur_{s}, CASE WHEN day(c.day) % 7 <> 3 THEN r.{s} END AS rec_{s}" for s in _SIDE) + """
-FROM f_evcur c JOIN f_evrec r USING (plan_id)
+ CASE WHEN groups <> '' THEN 'INFEASIBLE' ELSE 'FEASIBLE' END AS status, nullif(groups, '') AS explanation,
+ """ + ", ".join(f"c.{s} AS cur_{s}, CASE WHEN coalesce(groups, '') = '' THEN r.{s} END AS rec_{s}" for s in _SIDE) + """
+FROM f_evcur c JOIN f_evrec r USING (plan_id) LEFT JOIN f_infeas USING (plan_id)
 """)
 fragment("f_runc", """
 SELECT *, CASE WHEN rec_production_kg IS NULL THEN 'production data missing' WHEN cur_production_kg = 0 THEN 'current production is zero'
@@ -26,16 +26,19 @@ SELECT *, CASE WHEN rec_production_kg IS NULL THEN 'production data missing' WHE
 
 
 def runs(p):
-    """One optimiser run per furnace-day: the observed day against the back-to-back plan."""
+    """One run per furnace-day: the observed day against the back-to-back plan, which proves nothing (FEASIBLE).
+
+    A day whose limits cannot be met has no plan (INFEASIBLE), explained by the groups of limits that fail.
+    """
     cur = QS.evaluated(p, "cur").select(*QS.K.PLAN, *[F.col(c).alias(f"cur_{c}") for c in _SIDE])
     rec = QS.evaluated(p, "rec").select("plan_id", *[F.col(c).alias(f"rec_{c}") for c in _SIDE])
-    kind = F.dayofmonth("day") % 7
-    df = cur.join(rec, "plan_id")
-    df = df.withColumns({f"rec_{c}": F.when(kind != 3, F.col(f"rec_{c}")) for c in _SIDE})
+    failing = QS.infeasible(p).select("plan_id", F.nullif(F.array_join("groups", "; "), F.lit("")).alias("explanation"))
+    df = cur.join(rec, "plan_id").join(failing, "plan_id", "left")
+    met = F.col("explanation").isNull()
+    df = df.withColumns({f"rec_{c}": F.when(met, F.col(f"rec_{c}")) for c in _SIDE})
     start = F.to_utc_timestamp(F.col("day").cast("timestamp"), "Asia/Kolkata")
     return df.select(F.col("plan_id").alias("run_id"), "machine_id", start.alias("horizon_start"), (start + F.expr("interval 1 day")).alias("horizon_end"),
-                     F.when(kind == 3, "INFEASIBLE").when(kind == 5, "FEASIBLE").otherwise("OPTIMAL").alias("status"),
-                     F.when(kind == 3, "operating-hours").alias("explanation"), F.lit(None).cast("boolean").alias("stored_comparable"),
+                     F.when(met, "FEASIBLE").otherwise("INFEASIBLE").alias("status"), "explanation", F.lit(None).cast("boolean").alias("stored_comparable"),
                      F.lit(None).cast("string").alias("stored_reason"), (start + F.expr("interval 1 day")).alias("created_at"),
                      *[f"{s}_{c}" for c in _SIDE for s in ("cur", "rec")])
 
@@ -44,10 +47,10 @@ fragment("f_ridle", """
 SELECT coalesce(e.machine_id, f.machine_id) AS machine_id, 'R-IDLE' AS rule_id, window_start, window_end, CASE WHEN rk >= 3 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
  CASE WHEN ne > 0 AND nf > 0 THEN 'HIGH' WHEN (ne > 0 AND rk >= 3) OR nf >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, NULL::DOUBLE AS projected_kwh_delta, NULL::DOUBLE AS projected_cost_inr_delta,
  'R-IDLE|' || coalesce(e.machine_id, f.machine_id) || '|' || coalesce(strftime(window_start, '%Y-%m-%dT%H:%M:%S+00:00'), '') || '|' || coalesce(strftime(window_end, '%Y-%m-%dT%H:%M:%S+00:00'), '')
- || '|' || coalesce(ids, '') || '+' || coalesce(found, '') AS dedup_key
+ || '|' || coalesce(ids, '0:0:0') || '+' || coalesce(found, '0:0:0') AS dedup_key
 FROM (SELECT machine_id, count(*) AS ne, min(window_start) AS window_start, max(window_end) AS window_end, max(CASE severity WHEN 'CRITICAL' THEN 3 ELSE 2 END) AS rk,
-  string_agg(dedup_key, '+' ORDER BY dedup_key) AS ids FROM f_ev WHERE rule_id = 'L1_IDLE_WASTE' GROUP BY 1) e
-FULL JOIN (SELECT machine_id, count(*) AS nf, string_agg(CAST(day AS VARCHAR) || ':' || metric, '+' ORDER BY day, CASE metric WHEN 'idle_hours' THEN 0 WHEN 'holding_hours_per_heat' THEN 1 ELSE 2 END) AS found
+  count(*) || ':' || sum(('0x' || substr(md5(dedup_key), 1, 15))::BIGINT) || ':' || bit_xor(('0x' || substr(md5(dedup_key), 1, 15))::BIGINT) AS ids FROM f_ev WHERE rule_id = 'L1_IDLE_WASTE' GROUP BY 1) e
+FULL JOIN (SELECT machine_id, count(*) AS nf, count(*) || ':' || sum(('0x' || substr(md5(CAST(day AS VARCHAR) || ':' || metric), 1, 15))::BIGINT) || ':' || bit_xor(('0x' || substr(md5(CAST(day AS VARCHAR) || ':' || metric), 1, 15))::BIGINT) AS found
  FROM f_find WHERE above_reference AND metric IN ('idle_hours', 'non_productive_share', 'holding_hours_per_heat') GROUP BY 1) f ON f.machine_id = e.machine_id
 """)
 _KEY = "machine_id || '|' || strftime(window_start, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(window_end, '%Y-%m-%dT%H:%M:%S+00:00') || '|'"
@@ -164,6 +167,38 @@ def _(p):
     return recommendations(p).select(*_REC, "status")
 
 
+@query("recommendation_content", "SELECT dedup_key, CASE rule_id " + " ".join(
+    f"WHEN '{rule}' THEN replace('{action}', '{{m}}', machine_id)" for rule, (action, _, _) in R.CONTENT.items()) + " END AS proposed_action, CASE rule_id " + " ".join(
+    f"WHEN '{rule}' THEN '{'; '.join(xs)}'" for rule, (_, _, xs) in R.CONTENT.items()) + " END AS assumptions, "
+    "CASE WHEN rule_id IN ('R-RESCHEDULE', 'R-SEQUENCE') THEN 'PROJECTED' END AS effect_class, 'recommend:' || rule_id AS source_module FROM f_recsx")
+def _(p):
+    return recommendations(p).select("dedup_key", "proposed_action", "assumptions", "effect_class", "source_module")
+
+
+_PAIR = " UNION ALL ".join(f"SELECT '{rule}|' || machine_id || '|' || strftime(horizon_start, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(horizon_end, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || run_id AS k, 'run' AS kind, "
+                           f"run_id AS ref, '{m}' AS measure, {value.format('rec')} AS value, {value.format('cur')} AS reference FROM f_runc WHERE status <> 'INFEASIBLE'"
+                           for rule, ms in R.RUN_MEASURES.items() for m in ms
+                           for value in [{"kwh_per_t": "CASE WHEN {0}_production_kg > 0 THEN round_even({0}_energy_kwh / {0}_production_kg * 1000, 1) END",
+                                          "gap_kwh": "({0}_holding_kwh + {0}_idle_kwh + {0}_reheat_kwh)"}.get(m, "{0}_" + m)])
+
+
+@query("recommendation_evidence", f"""
+SELECT DISTINCT k AS dedup_key, machine_id, rule_id, kind, ref, measure, round(value, 4) AS value, round(reference, 4) AS reference FROM f_recs JOIN (
+ SELECT i.dedup_key AS k, 'anomaly' AS kind, e.dedup_key AS ref, 'deviation_pct' AS measure, deviation_pct AS value, NULL::DOUBLE AS reference FROM f_ridle i JOIN f_ev e ON i.machine_id = e.machine_id AND e.rule_id = 'L1_IDLE_WASTE'
+ UNION ALL SELECT i.dedup_key, 'finding', CAST(day AS VARCHAR) || ':' || metric, metric, round(value + 1e-9, digits), reference FROM f_ridle i JOIN f_find f ON i.machine_id = f.machine_id AND above_reference
+  AND metric IN ('idle_hours', 'non_productive_share', 'holding_hours_per_heat')
+ UNION ALL SELECT CASE WHEN category LIKE 'ENERGY_ONLY%' THEN 'R-PROCESS|' || {_KEY} || category ELSE 'R-INSPECT|' || {_KEY} || category || '+' || replace(top_signals, '; ', ', ') END, 'insight', category, 'deviation_pct', deviation_pct, NULL FROM f_ins
+ UNION ALL SELECT 'R-INSPECT|' || {_KEY} || category || '+' || replace(top_signals, '; ', ', '), 'signal', unnest(string_split(top_signals, '; ')), 'robust_z', NULL, NULL FROM f_ins WHERE category NOT LIKE 'ENERGY_ONLY%' AND top_signals <> ''
+ UNION ALL SELECT * FROM ({_PAIR}) WHERE value IS NOT NULL OR reference IS NOT NULL
+ UNION ALL SELECT dedup_key, 'limit', run_id, explanation, NULL, NULL FROM f_rnop JOIN f_run ON f_rnop.machine_id = f_run.machine_id AND f_rnop.window_start = horizon_start
+ UNION ALL SELECT dedup_key, 'rank', k.machine_id, 'rank', k.rank, NULL FROM f_rprio, f_rank k) ON k = dedup_key
+""")
+def _(p):
+    df = R.evidence(recommendations(p), p.events(), QH.findings(p), QH.insights(p), run_table(p))
+    # a signal's figures are those of health_evidence and compared there
+    return df.withColumns({c: F.when(F.col("kind") != "signal", F.col(c)) for c in ("value", "reference")}).distinct()
+
+
 @query("merge_generation", """
 SELECT dedup_key, CASE WHEN conflict_with <> '' THEN CASE WHEN h % 4 = 0 THEN 'APPROVED' ELSE 'CONFLICT' END WHEN h % 4 = 0 THEN 'APPROVED' ELSE 'PENDING_REVIEW' END AS status FROM (
  SELECT *, length(dedup_key) AS h FROM f_recsx)

@@ -271,7 +271,7 @@ def _(p):
     return K.validate_schedules(bad_heats(p), aux(p), constraints(p), templates(p), windows, maintenance, tasks, powers(p))
 
 
-@query("infeasible_groups", """
+fragment("f_infeas", """
 SELECT plan_id, array_to_string(list_filter([CASE WHEN need > 96 THEN 'operating-hours: total' END, CASE WHEN mx > 50 THEN 'operating-hours: longest window' END,
  CASE WHEN need > 92 THEN 'maintenance' END, CASE WHEN peak_cap_kw < top THEN 'peak-cap' END, CASE WHEN tight > 0 THEN 'aux-window' END], lambda y: y IS NOT NULL), '; ') AS groups
 FROM (SELECT plan_id, machine_id, peak_cap_kw, coalesce(total, 0) AS need, mx, top, tight FROM f_cons
@@ -279,11 +279,18 @@ FROM (SELECT plan_id, machine_id, peak_cap_kw, coalesce(total, 0) AS need, mx, t
  LEFT JOIN (SELECT machine_id, max(median_kw) AS top FROM f_med WHERE state <> 'idle' GROUP BY 1) USING (machine_id)
  LEFT JOIN (SELECT plan_id, count(*) FILTER (we - ws < t_dur) AS tight FROM f_auxtask GROUP BY 1) USING (plan_id))
 """)
-def _(p):
+
+
+def infeasible(p):
     windows, maintenance, tasks = _limits(p)
     return K.infeasible_groups(constraints(p), templates(p), windows, maintenance, tasks, powers(p))
 
 
+@query("infeasible_groups", "SELECT plan_id, groups FROM f_infeas")
+def _(p):
+    return infeasible(p)
+
+
 @query("comparability", """
 SELECT c.plan_id, reason = 'same production and auxiliary tasks' AS comparable, reason AS comparability_reason FROM (
  SELECT c.plan_id, CASE WHEN c.production_kg = 0 THEN 'current production is zero' WHEN abs(r.production_kg - c.production_kg) / c.production_kg > 0.01 THEN 'production differs'
