@@ -135,3 +135,34 @@ def test_critical_inspection_conflicts_with_a_plan(spark):
     assert {r.status for r in got.values()} == {"CONFLICT"} and got["R-INSPECT"].conflict_with == [got["R-RESCHEDULE"].dedup_key]
     calm = R.rec_inspect(ins.withColumn("states", F.array(F.lit("WARNING")))).unionByName(R.rec_reschedule(_run(spark)))
     assert {r.status for r in R.mark_conflicts(calm).collect()} == {"PENDING_REVIEW"}
+
+
+def test_evidence_names_every_source_and_keys_do_not_depend_on_order(spark):
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    ev = [(f"f|L1_IDLE_WASTE|{i}", "f", "L1_IDLE_WASTE", hour(i), hour(i + 1), "WARNING", "OPEN", 10.0 + i) for i in range(5)] + [("g|x", "g", "L1_POWER", hour(0), hour(1), "WARNING", "OPEN", 1.0)]
+    cols = "dedup_key string, machine_id string, rule_id string, window_start timestamp, window_end timestamp, severity string, status string, deviation_pct double"
+    found = spark.createDataFrame([("f", T0.date(), "idle_hours", 3.0, 1.0, True), ("f", T0.date(), "start_count", 9.0, 1.0, True), ("f", T0.date(), "idle_hours", 0.5, 1.0, False)],
+                                  "machine_id string, day date, metric string, value double, reference double, above_reference boolean")
+    ins = spark.createDataFrame([("COINCIDENT", "g", hour(0), hour(2), "L1_POWER", "WARNING", 1.0, ["CRITICAL"], [("temperature_c", 7.0, 55.0)]),
+                                 ("ENERGY_ONLY", "g", hour(5), hour(6), "L1_POWER", None, None, ["NORMAL"], [])],
+                                "category string, machine_id string, window_start timestamp, window_end timestamp, rule_id string, severity string, deviation_pct double, "
+                                "states array<string>, top_signals array<struct<signal:string,z:double,median:double>>")
+    runs = _run(spark).unionByName(_run(spark, "INFEASIBLE").withColumns({"run_id": F.lit("run-2"), "explanation": F.lit("peak-cap")}))
+    events = spark.createDataFrame(ev, cols)
+    recs = R.candidates(events, ins, found, runs).persist()
+    turned = R.rec_idle(spark.createDataFrame(ev[::-1], cols), found).first()
+    idle = recs.where("rule_id = 'R-IDLE'").first()
+    assert turned.dedup_key == idle.dedup_key != R.rec_idle(spark.createDataFrame(ev[1:], cols), found).first().dedup_key
+    assert idle.proposed_action.count("f") and "{m}" not in idle.proposed_action and idle.effect_class is None and idle.source_module == "recommend:R-IDLE"
+    rows = R.evidence(recs, events, found, ins, runs).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.rule_id, set()).add((r.kind, r.ref, r.measure, r.value, r.reference))
+    assert got["R-IDLE"] == {("anomaly", k[0], "deviation_pct", k[7], None) for k in ev[:5]} | {("finding", f"{T0.date()}:idle_hours", "idle_hours", 3.0, 1.0)}
+    assert got["R-INSPECT"] == {("insight", "COINCIDENT", "deviation_pct", 1.0, None), ("signal", "temperature_c", "robust_z", 7.0, 55.0)}
+    assert got["R-PROCESS"] == {("insight", "ENERGY_ONLY", "deviation_pct", None, None)}
+    assert ("run", "run-1", "energy_kwh", 630.0, 700.0) in got["R-RESCHEDULE"] and ("run", "run-1", "gap_kwh", 50.0, 100.0) in got["R-SEQUENCE"]
+    assert got["R-NOPLAN"] == {("limit", "run-2", "peak-cap", None, None)} and {r[1] for r in got["R-PRIORITISE"]} == {"f", "g"}
+    empty = R.evidence(recs.limit(0), events.limit(0), found.limit(0), ins.limit(0), runs.limit(0))
+    assert empty.count() == 0 and empty.columns == R.evidence(recs, events, found, ins, runs).columns
+    recs.unpersist()

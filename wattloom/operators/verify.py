@@ -239,31 +239,72 @@ def comparability_gates(design: DataFrame, tol_pct: float = C.VERIFY_PROD_TOL_PC
                      (~(shifted | (F.col("extrapolated_frac") > max_extrapolated))).alias("comparable"))
 
 
+def _number(value: Column, pattern: str = "%.1f") -> Column:
+    return F.format_string(pattern, F.round(value + 1e-9, 1))
+
+
+def comparability_reasons(tol_pct: float, max_extrapolated: float) -> Column:
+    """Why the columns of ``comparability_gates`` are not comparable (empty where they are)."""
+    before, after = F.col("production_before_kg_h"), F.col("production_after_kg_h")
+    change = F.try_divide(after - before, before) * 100.0
+    return F.array_compact(F.array(
+        F.when((before > 0) & (F.abs(change) > tol_pct), F.concat(F.lit("mean production changed by "), _number(change, "%+.1f"), F.lit(f" %, more than {tol_pct:.1f} %"))),
+        F.when(F.col("extrapolated_frac") > max_extrapolated, F.concat(_number(F.col("extrapolated_frac") * 100.0), F.lit(
+            " % of the measurement lies above the baseline's production, where the model would extrapolate")))))
+
+
 def verify_savings(interventions: DataFrame, intervals: DataFrame, *, confidence: float = C.VERIFY_CONFIDENCE, min_baseline: int = C.VERIFY_MIN_BASELINE_POINTS,
                    min_post: int = C.VERIFY_MIN_POST_POINTS, min_frac: float = C.VERIFY_MIN_COMPLETE_FRAC, tol_pct: float = C.VERIFY_PROD_TOL_PCT,
-                   max_extrapolated: float = C.VERIFY_MAX_EXTRAPOLATED_FRAC, cv_max: float = C.G14_CV_MAX_PCT, nmbe_max: float = C.G14_NMBE_MAX_PCT) -> DataFrame:
-    """One verdict per intervention: saving with its band, or the reason there is none."""
-    design = verify_design(intervention_rows(interventions, intervals))
-    pred = with_prediction(design, fit_counterfactual(design))
+                   max_extrapolated: float = C.VERIFY_MAX_EXTRAPOLATED_FRAC, cv_max: float = C.G14_CV_MAX_PCT, nmbe_max: float = C.G14_NMBE_MAX_PCT,
+                   design: DataFrame | None = None, fits: DataFrame | None = None) -> DataFrame:
+    """One verdict per intervention: saving with its band, or the reason there is none, and the model behind it.
+
+    ``design`` and ``fits`` take tables of ``verify_design`` and ``fit_counterfactual`` that are written already; each is
+    read several times. ``comparable`` and its reasons are null where the data or the model end the test before.
+    """
+    design = verify_design(intervention_rows(interventions, intervals)) if design is None else design
+    fits = fit_counterfactual(design) if fits is None else fits
+    pred = with_prediction(design, fits)
     stats = residual_stats(pred).withColumn("g14", g14_label(F.col("cv") * 100.0, F.col("nmbe_pct"), cv_max, nmbe_max))
     post = pred.where("period = 'post'").groupBy("intervention").agg(
         F.count("*").alias("m"), F.sum("predicted").alias("counterfactual_kwh"), F.sum("energy_kwh").alias("actual_kwh"))
     df = (data_gates(design, interventions, min_baseline, min_post, min_frac).join(stats, "intervention", "left")
-          .join(comparability_gates(design, tol_pct, max_extrapolated), "intervention", "left").join(post, "intervention", "left"))
+          .join(comparability_gates(design, tol_pct, max_extrapolated), "intervention", "left").join(post, "intervention", "left").join(fits, "intervention", "left"))
     df = savings_uncertainty(df, confidence).withColumn("saving_kwh", F.col("counterfactual_kwh") - F.col("actual_kwh"))
     u, s = F.col("uncertainty_kwh"), F.col("saving_kwh")
-    verdict = (F.when(~F.col("enough_data") | (F.coalesce("g14", F.lit("")) != "ACCEPTABLE"), "INSUFFICIENT_DATA").when(~F.col("comparable"), "NOT_COMPARABLE")
+    fitted = F.coalesce("g14", F.lit("")) == "ACCEPTABLE"
+    verdict = (F.when(~F.col("enough_data") | ~fitted, "INSUFFICIENT_DATA").when(~F.col("comparable"), "NOT_COMPARABLE")
                .when((s > u) & (s > 0), "SUCCESS").when(s < -u, "WORSE").otherwise("NO_EFFECT"))
-    df = df.withColumn("result_class", verdict)
+    df = df.withColumns({"result_class": verdict, "_reasons": comparability_reasons(tol_pct, max_extrapolated)})
+    tested = F.col("enough_data") & fitted
     has = F.col("result_class").isin("SUCCESS", "WORSE", "NO_EFFECT")
     keep = lambda c, d: F.when(has, shown(F.col(c), d))
+    pct = F.try_divide(s, F.col("counterfactual_kwh")) * 100.0
+
+    def short(side, what, least):
+        return F.concat(F.lit(f"{what} has "), F.col(f"n_{side}").cast("string"), F.lit(" usable intervals ("), _number(F.col(f"{side}_complete_frac") * 100.0),
+                        F.lit(f" % complete); {least} and {min_frac * 100:.1f} % are needed."))
+    band = F.concat(_number(u), F.lit(f" kWh at {confidence * 100:.1f} % confidence."))
+    enough_before = (F.col("n_baseline") >= min_baseline) & (F.col("baseline_complete_frac") >= min_frac)
+    why = (F.when(~F.col("enough_data") & ~enough_before, short("baseline", "The baseline", min_baseline))
+           .when(~F.col("enough_data"), short("post", "The measurement", min_post))
+           .when(~fitted, F.concat(F.lit("The baseline model is not good enough for a counterfactual: CV(RMSE) "), F.coalesce(_number(F.col("cv") * 100.0), F.lit("undefined")),
+                                   F.lit(" %, NMBE "), F.coalesce(_number(F.col("nmbe_pct")), F.lit("undefined")), F.lit(" %.")))
+           .when(F.col("result_class") == "NOT_COMPARABLE", F.concat(F.lit("Conditions differ: "), F.array_join("_reasons", "; "), F.lit(". No saving is reported.")))
+           .when(F.col("result_class") == "SUCCESS", F.concat(_number(s), F.lit(" kWh ("), _number(pct), F.lit(" %) below the counterfactual, more than its uncertainty of "), band))
+           .when(F.col("result_class") == "WORSE", F.concat(_number(-s), F.lit(" kWh ("), _number(-pct), F.lit(" %) above the counterfactual, more than its uncertainty of "), band))
+           .otherwise(F.concat(_number(s, "%+.1f"), F.lit(" kWh against the counterfactual, within its uncertainty of "), band)))
     return df.select(
         "intervention", "machine_id", "result_class",
         F.when(F.col("result_class") == "SUCCESS", "VERIFIED").when(has, "NOT_VERIFIED").otherwise(F.col("result_class")).alias("outcome"),
-        "n_baseline", "n_post", "baseline_complete_frac", "post_complete_frac",
+        why.alias("explanation"), "n_baseline", "n_post", "baseline_complete_frac", "post_complete_frac",
         keep("counterfactual_kwh", 3).alias("counterfactual_kwh"), keep("actual_kwh", 3).alias("actual_kwh"), keep("saving_kwh", 3).alias("saving_kwh"),
-        F.when(has, shown(F.try_divide(s, F.col("counterfactual_kwh")) * 100.0, 3)).alias("saving_pct"), keep("uncertainty_kwh", 3).alias("uncertainty_kwh"),
-        shown(F.col("production_before_kg_h"), 3).alias("production_before_kg_h"), shown(F.col("production_after_kg_h"), 3).alias("production_after_kg_h"))
+        F.when(has, shown(pct, 3)).alias("saving_pct"), keep("uncertainty_kwh", 3).alias("uncertainty_kwh"), F.when(has, F.lit(confidence)).alias("confidence"),
+        shown(F.col("production_before_kg_h"), 3).alias("production_before_kg_h"), shown(F.col("production_after_kg_h"), 3).alias("production_after_kg_h"),
+        F.when(tested, F.col("comparable")).alias("comparable"), F.when(tested, F.col("_reasons")).alias("comparability_reasons"),
+        F.when(F.col("enough_data"), F.struct(
+            F.transform("beta", lambda b: shown(b, 6)).alias("coefficients"), shown(F.col("cv") * 100.0, 3).alias("cv_rmse_pct"), shown(F.col("nmbe_pct"), 3).alias("nmbe_pct"),
+            "g14", shown(F.col("rho"), 4).alias("lag1_autocorr"), shown(F.col("n_eff"), 1).alias("n_effective"))).alias("model"))
 
 
 # -- impact -----------------------------------------------------------------------

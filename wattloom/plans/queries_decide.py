@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wattloom.functions.columns import local_time
-from wattloom.operators import baseline, process, reads
+from wattloom.operators import process, reads
 from wattloom.operators import recommend as R
 from wattloom.operators import verify as V
 from wattloom.plans import queries_health as QH
@@ -414,12 +414,16 @@ def design(p):
     return p.stage("verify_design", lambda: V.verify_design(V.intervention_rows(interventions(p), p.intervals())))
 
 
+def fits(p):
+    return p.stage("verify_fits", lambda: V.fit_counterfactual(design(p)))
+
+
 def predicted(p):
-    return p.stage("verify_predicted", lambda: V.with_prediction(design(p), V.fit_counterfactual(design(p))))
+    return p.stage("verify_predicted", lambda: V.with_prediction(design(p), fits(p)))
 
 
 def verdicts(p):
-    return p.stage("verdicts", lambda: V.verify_savings(interventions(p), p.intervals(), **GATES))
+    return p.stage("verdicts", lambda: V.verify_savings(interventions(p), p.intervals(), design=design(p), fits=fits(p), **GATES))
 
 
 @query("verify_design", """
@@ -475,6 +479,32 @@ def _(p):
     return verdicts(p).select("intervention", "machine_id", "result_class", "outcome", "n_baseline", "n_post", "counterfactual_kwh", "actual_kwh", "saving_kwh", "uncertainty_kwh")
 
 
+_N = "printf('%.1f', round({} + 1e-9, 1))"
+fragment("f_verdx", f"""
+SELECT *, list_filter([CASE WHEN before > 0 AND abs(after - before) / before * 100 > 25 THEN 'mean production changed by ' || printf('%+.1f', round((after - before) / before * 100 + 1e-9, 1)) || ' %, more than 25.0 %' END,
+  CASE WHEN out_frac > 0.10 THEN {_N.format('out_frac * 100')} || ' % of the measurement lies above the baseline''s production, where the model would extrapolate' END], lambda y: y IS NOT NULL) AS reasons,
+ coalesce(cv * 100 <= 60 AND abs(nmbe_pct) <= 10, FALSE) AS fitted
+FROM f_verd LEFT JOIN (SELECT intervention, out_frac, comparable FROM f_cgate) USING (intervention) LEFT JOIN (SELECT intervention, cv, nmbe_pct, rho, n_eff FROM f_resid) USING (intervention)
+""")
+
+
+@query("verification_explained", f"""
+SELECT intervention, CASE WHEN enough AND fitted THEN comparable END AS comparable, CASE WHEN enough AND fitted THEN array_to_string(reasons, '; ') END AS comparability_reasons,
+ CASE WHEN NOT enough AND NOT (n_baseline >= 20 AND round_even(fb, 3) >= 0.25) THEN 'The baseline has ' || n_baseline || ' usable intervals (' || {_N.format('round_even(fb, 3) * 100')} || ' % complete); 20 and 25.0 % are needed.'
+  WHEN NOT enough THEN 'The measurement has ' || n_post || ' usable intervals (' || {_N.format('round_even(fp, 3) * 100')} || ' % complete); 8 and 25.0 % are needed.'
+  WHEN NOT fitted THEN 'The baseline model is not good enough for a counterfactual: CV(RMSE) ' || coalesce({_N.format('cv * 100')}, 'undefined') || ' %, NMBE ' || coalesce({_N.format('nmbe_pct')}, 'undefined') || ' %.'
+  WHEN result_class = 'NOT_COMPARABLE' THEN 'Conditions differ: ' || array_to_string(reasons, '; ') || '. No saving is reported.'
+  WHEN result_class = 'SUCCESS' THEN {_N.format('saving')} || ' kWh (' || {_N.format('saving / cf * 100')} || ' %) below the counterfactual, more than its uncertainty of ' || {_N.format('u')} || ' kWh at 90.0 % confidence.'
+  WHEN result_class = 'WORSE' THEN {_N.format('-saving')} || ' kWh (' || {_N.format('-saving / cf * 100')} || ' %) above the counterfactual, more than its uncertainty of ' || {_N.format('u')} || ' kWh at 90.0 % confidence.'
+  ELSE printf('%+.1f', round(saving + 1e-9, 1)) || ' kWh against the counterfactual, within its uncertainty of ' || {_N.format('u')} || ' kWh at 90.0 % confidence.' END AS explanation,
+ CASE WHEN outcome IN ('VERIFIED', 'NOT_VERIFIED') THEN 0.9::DOUBLE END AS confidence, CASE WHEN enough THEN round(cv * 100 + 1e-9, 3) END AS cv_rmse_pct, CASE WHEN enough THEN round(nmbe_pct + 1e-9, 3) END AS nmbe_pct,
+ CASE WHEN enough THEN CASE WHEN fitted THEN 'ACCEPTABLE' ELSE 'NOT_ACCEPTABLE' END END AS g14, CASE WHEN enough THEN round(rho, 4) END AS lag1_autocorr, CASE WHEN enough THEN round(n_eff + 1e-9, 1) END AS n_effective
+FROM f_verdx
+""")
+def _(p):
+    return verdicts(p).select("intervention", "comparable", "comparability_reasons", "explanation", "confidence", *[f"model.{c}" for c in ("cv_rmse_pct", "nmbe_pct", "g14", "lag1_autocorr", "n_effective")])
+
+
 @query("list_verification", "SELECT intervention, outcome FROM f_verd WHERE outcome = 'NOT_VERIFIED'")
 def _(p):
     return verdicts(p).where("outcome = 'NOT_VERIFIED'").select("intervention", "outcome")
@@ -529,27 +559,46 @@ def _(p):
 
 
 # -- paired trials ----------------------------------------------------------------------
+# The treated arm of an intervention is its machine's four days before and after; the control arm is the same machine
+# one week earlier. Reported savings, bands and outcomes are the verdicts of verify_savings.
 fragment("f_trial", """
-SELECT machine_id AS scenario, CAST(window_start AS DATE) AS seed, CASE WHEN hour(window_start) < 12 THEN 'pre' ELSE 'post' END AS period, coalesce(energy_kwh, 0) AS energy_kwh FROM f_iv
+SELECT v.machine_id AS scenario, intervention AS seed, arm, CASE WHEN ws < applied_at THEN 'pre' ELSE 'post' END AS period, coalesce(energy_kwh, 0) AS energy_kwh FROM f_intv v JOIN (
+ SELECT machine_id, window_start AS ws, window_end AS we, energy_kwh, 'treated' AS arm FROM f_iv
+ UNION ALL SELECT machine_id, window_start + INTERVAL 7 DAY, window_end + INTERVAL 7 DAY, energy_kwh, 'control' FROM f_iv) i
+ON i.machine_id = v.machine_id AND ((ws >= applied_at - INTERVAL 4 DAY AND we <= applied_at) OR (ws >= applied_at AND we <= applied_at + INTERVAL 4 DAY))
+""")
+fragment("f_oddstart", """
+SELECT seed, count(*) FILTER (c <> t) AS odd FROM (SELECT intervention AS seed, s.ts, count(*) FILTER (arm = 'control') AS c, count(*) FILTER (arm = 'treated') AS t FROM f_intv v JOIN (
+ SELECT machine_id, ts, 'treated' AS arm FROM f_trans WHERE to_state = 'heating' UNION ALL SELECT machine_id, ts + INTERVAL 7 DAY, 'control' FROM f_trans WHERE to_state = 'heating') s
+ ON s.machine_id = v.machine_id AND s.ts >= applied_at - INTERVAL 4 DAY AND s.ts < applied_at + INTERVAL 4 DAY GROUP BY 1, 2) GROUP BY 1
 """)
 fragment("f_true", """
-SELECT scenario, seed, round(sum(CASE WHEN period = 'post' THEN energy_kwh * CASE WHEN day(seed) % 3 = 0 THEN 0 ELSE 0.125::DOUBLE * (day(seed) % 3) END ELSE 0 END) + 1e-9, 3) AS true_saving_kwh,
- TRUE AS pre_equal, day(seed) % 4 <> 0 OR coalesce(any_value(nh), 0) = 0 AS paired
-FROM f_trial LEFT JOIN (SELECT machine_id AS scenario, CAST(ts AS DATE) AS seed, count(*) AS nh FROM f_trans WHERE to_state = 'heating' GROUP BY 1, 2) USING (scenario, seed) GROUP BY 1, 2
+SELECT scenario, seed, round(coalesce(sum(energy_kwh) FILTER (arm = 'control' AND period = 'post'), 0) - coalesce(sum(energy_kwh) FILTER (arm = 'treated' AND period = 'post'), 0) + 1e-9, 3) AS true_saving_kwh,
+ abs(coalesce(sum(energy_kwh) FILTER (arm = 'control' AND period = 'pre'), 0) - coalesce(sum(energy_kwh) FILTER (arm = 'treated' AND period = 'pre'), 0)) < 1e-6 AS pre_equal,
+ coalesce(any_value(odd), 0) = 0 AS paired FROM f_trial LEFT JOIN f_oddstart USING (seed) GROUP BY 1, 2
 """)
 
 
 def trials(p):
-    seed = F.to_date("window_start")
-    base = p.intervals().select(F.col("machine_id").alias("scenario"), seed.alias("seed"), F.when(F.hour("window_start") < 12, "pre").otherwise("post").alias("period"),
-                                F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"))
-    cut = F.when((F.col("period") == "post"), F.col("energy_kwh") * 0.125 * (F.dayofmonth("seed") % 3)).otherwise(0.0)
-    energy = base.withColumn("arm", F.lit("control")).unionByName(base.withColumn("energy_kwh", F.col("energy_kwh") - cut).withColumn("arm", F.lit("treated")))
-    tr = process.state_transitions(process.state_samples(p.telemetry()), p.machines).where("to_state = 'heating'")
-    starts = tr.select(F.col("machine_id").alias("scenario"), F.to_date("ts").alias("seed"), "ts")
-    late = F.when(F.dayofmonth("seed") % 4 == 0, F.col("ts") + F.expr("interval 5 minutes")).otherwise(F.col("ts"))
-    starts = starts.withColumn("arm", F.lit("control")).unionByName(starts.withColumn("ts", late).withColumn("arm", F.lit("treated")))
-    return V.true_saving_pairs(energy, starts)
+    """Both arms of every intervention, one row per pair."""
+    at, week, span = F.col("applied_at"), F.expr("interval 7 days"), F.expr("interval 4 days")
+    spans = interventions(p).select("intervention", "machine_id", (at - span).alias("baseline_start"), at.alias("baseline_end"), at.alias("measurement_start"), (at + span).alias("measurement_end"))
+
+    def energy(arm, iv):
+        rows = V.intervention_rows(spans, iv)
+        return rows.select(F.col("machine_id").alias("scenario"), F.col("intervention").alias("seed"), F.lit(arm).alias("arm"),
+                           F.when(F.col("period") == "post", "post").otherwise("pre").alias("period"), F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"))
+    iv = p.intervals()
+    earlier = iv.withColumns({c: F.col(c) + week for c in ("window_start", "window_end")})
+    heats = process.state_transitions(process.state_samples(p.telemetry()), p.machines).where("to_state = 'heating'").select("machine_id", "ts")
+    days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("baseline_start"), F.to_date(F.col("measurement_end") - F.expr("interval 1 microsecond")))))
+
+    def starts(arm, shift):
+        s = heats.withColumn("ts", F.col("ts") + shift).withColumn("_day", F.to_date("ts")).join(days, ["machine_id", "_day"])
+        inside = (F.col("ts") >= F.col("baseline_start")) & (F.col("ts") < F.col("measurement_end"))
+        return s.where(inside).select(F.col("machine_id").alias("scenario"), F.col("intervention").alias("seed"), F.lit(arm).alias("arm"), "ts")
+    return V.true_saving_pairs(energy("treated", iv).unionByName(energy("control", earlier)),
+                               starts("treated", F.expr("interval 0 days")).unionByName(starts("control", week)))
 
 
 @query("true_saving_pairs", "SELECT scenario, seed, true_saving_kwh, pre_equal, paired FROM f_true")
@@ -558,22 +607,17 @@ def _(p):
 
 
 @query("verification_scorecard", """
-SELECT scenario, count(*) AS n, count(*) FILTER (paired) AS n_paired, count(*) FILTER (outcome = 'VERIFIED') AS n_verified, count(*) FILTER (outcome = 'NOT_COMPARABLE') AS n_not_comparable,
- count(*) FILTER (true_saving_kwh <= 0) AS n_true_le0, round(count(*) FILTER (true_saving_kwh <= 0 AND outcome = 'VERIFIED') / nullif(count(*) FILTER (true_saving_kwh <= 0), 0)::DOUBLE, 4) AS false_claim_rate,
- round(count(*) FILTER (outcome = 'VERIFIED') / count(*)::DOUBLE, 4) AS detection_rate, round(count(*) FILTER (abs(true_saving_kwh - rep) <= 40) / nullif(count(rep), 0)::DOUBLE, 4) AS coverage,
- round(count(*) FILTER (paired AND abs(true_saving_kwh - rep) <= 40) / nullif(count(rep) FILTER (paired), 0)::DOUBLE, 4) AS coverage_paired, round(avg(true_saving_kwh), 4) AS mean_true_kwh,
+SELECT scenario, count(*) AS n, count(*) FILTER (paired) AS n_paired, count(*) FILTER (outcome = 'VERIFIED') AS n_verified, count(*) FILTER (outcome = 'NOT_VERIFIED') AS n_not_verified,
+ count(*) FILTER (outcome = 'NOT_COMPARABLE') AS n_not_comparable, count(*) FILTER (outcome = 'INSUFFICIENT_DATA') AS n_insufficient_data, count(*) FILTER (true_saving_kwh <= 0) AS n_true_le0,
+ round(count(*) FILTER (true_saving_kwh <= 0 AND outcome = 'VERIFIED') / nullif(count(*) FILTER (true_saving_kwh <= 0), 0)::DOUBLE, 4) AS false_claim_rate,
+ round(count(*) FILTER (outcome = 'VERIFIED') / count(*)::DOUBLE, 4) AS detection_rate, round(count(*) FILTER (abs(true_saving_kwh - rep) <= u) / nullif(count(rep), 0)::DOUBLE, 4) AS coverage,
+ round(count(*) FILTER (paired AND abs(true_saving_kwh - rep) <= u) / nullif(count(rep) FILTER (paired), 0)::DOUBLE, 4) AS coverage_paired, round(avg(true_saving_kwh), 4) AS mean_true_kwh,
  round(avg(rep), 4) AS mean_reported_kwh, round(avg(abs(rep - true_saving_kwh)), 4) AS mean_abs_error_kwh
-FROM (SELECT *, CASE WHEN day(seed) % 7 = 2 THEN NULL ELSE true_saving_kwh * 0.75::DOUBLE + 10 END AS rep,
- CASE WHEN day(seed) % 7 = 2 THEN 'NOT_COMPARABLE' WHEN true_saving_kwh * 0.75 + 10 > 40 OR day(seed) % 9 = 0 THEN 'VERIFIED' ELSE 'NOT_VERIFIED' END AS outcome FROM f_true) GROUP BY 1
+FROM (SELECT t.*, outcome, CASE WHEN outcome IN ('VERIFIED', 'NOT_VERIFIED') THEN round(saving + 1e-9, 3) END AS rep, CASE WHEN outcome IN ('VERIFIED', 'NOT_VERIFIED') THEN round(u + 1e-9, 3) END AS u
+ FROM f_true t JOIN f_verd v ON v.intervention = t.seed) GROUP BY 1
 """)
 def _(p):
-    d = F.dayofmonth("seed")
-    rep = F.when(d % 7 != 2, F.col("true_saving_kwh") * 0.75 + 10)
-    outcome = F.when(d % 7 == 2, "NOT_COMPARABLE").when((F.col("true_saving_kwh") * 0.75 + 10 > 40) | (d % 9 == 0), "VERIFIED").otherwise("NOT_VERIFIED")
-    klass = F.when(outcome == "VERIFIED", "SUCCESS").when(outcome == "NOT_VERIFIED", "NO_EFFECT").otherwise(outcome)
-    rows = trials(p).withColumns({"reported_saving_kwh": rep, "outcome": outcome, "result_class": klass, "uncertainty_kwh": F.lit(40.0)})
-    return V.verification_scorecard(rows).select("scenario", "n", "n_paired", "n_verified", "n_not_comparable", "n_true_le0", "false_claim_rate", "detection_rate", "coverage",
-                                                 "coverage_paired", "mean_true_kwh", "mean_reported_kwh", "mean_abs_error_kwh")
-
-
-__all__ = ["baseline"]
+    told = verdicts(p).select(F.col("intervention").alias("seed"), F.col("saving_kwh").alias("reported_saving_kwh"), "uncertainty_kwh", "outcome", "result_class")
+    return V.verification_scorecard(trials(p).join(told, "seed")).select(
+        "scenario", "n", "n_paired", *[f"n_{o.lower()}" for o in ("VERIFIED", "NOT_VERIFIED", "NOT_COMPARABLE", "INSUFFICIENT_DATA")], "n_true_le0", "false_claim_rate",
+        "detection_rate", "coverage", "coverage_paired", "mean_true_kwh", "mean_reported_kwh", "mean_abs_error_kwh")
