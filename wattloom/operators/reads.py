@@ -42,6 +42,15 @@ def listing(df: DataFrame, newest: str, *, machine_id: str | None = None, start:
     return df.orderBy(F.col(newest).desc())
 
 
+def sites(machines: DataFrame, sensors: DataFrame, readings: DataFrame) -> DataFrame:
+    """One row per site: its machines, their sensors and how many readings they sent."""
+    n = readings.groupBy("machine_id").agg(F.count("*").alias("n_readings"), F.max("ts").alias("newest"))
+    s = sensors.groupBy("machine_id").agg(F.count("*").alias("n_sensors"))
+    df = machines.join(s, "machine_id", "left").join(n, "machine_id", "left")
+    return df.groupBy("site_id").agg(F.count("*").alias("n_machines"), F.coalesce(F.sum("n_sensors"), F.lit(0)).alias("n_sensors"),
+                                     F.coalesce(F.sum("n_readings"), F.lit(0)).alias("n_readings"), F.max("newest").alias("newest"))
+
+
 def overlapping(df: DataFrame, start: str, end: str, ws: str = "window_start", we: str = "window_end") -> DataFrame:
     return df.where((F.col(ws) < F.lit(end).cast("timestamp")) & (F.col(we) > F.lit(start).cast("timestamp")))
 

@@ -332,18 +332,21 @@ def cost_impact(hourly: DataFrame, tariff: DataFrame, *, site_id: str, tz: str =
 def select_factor(df: DataFrame, on: str, factors: DataFrame) -> DataFrame:
     """Adds the factor in force on a date: a covering one, else the latest that had started.
 
-    Dates are matched to the few factor rows as a range; per distinct date, not per row.
+    The factor table (a row per grid and fiscal year) becomes one row, from which each row picks its own: nothing is
+    shuffled and no range is joined.
     """
-    days = df.select(F.col(on).alias("_on")).distinct()
-    f = factors.select(*[F.col(c).alias(f"f_{c}") for c in factors.columns])
-    pick = days.join(F.broadcast(f), F.col("f_effective_from") <= F.col("_on"))  # factor table: a row per fiscal year
-    covers = F.col("f_effective_to").isNull() | (F.col("_on") <= F.col("f_effective_to"))
-    best = pick.groupBy("_on").agg(F.max_by(F.struct("f_factor_id", "f_value_kg_per_kwh", "f_source_class", "f_note", covers.alias("covers")),
-                                            F.struct(covers, F.col("f_effective_from"))).alias("_f"))
-    out = df.join(best, F.col(on) == F.col("_on"), "left").drop("_on")
+    cols = ["factor_id", "value_kg_per_kwh", "source_class", "note"]
+    table = factors.agg(F.collect_list(F.struct("effective_from", "effective_to", *cols)).alias("_all"))
+    day = F.col(on)
+
+    def ranked(f):
+        covers = f["effective_to"].isNull() | (day <= f["effective_to"])
+        return F.struct(covers.alias("covers"), f["effective_from"].alias("since"), *[f[c].alias(c) for c in cols])
+    started = F.transform(F.filter("_all", lambda f: f["effective_from"] <= day), ranked)
+    out = df.crossJoin(table).withColumn("_f", F.array_max(started)).drop("_all")
     status = F.when(F.col("_f").isNull(), "UNAVAILABLE").when(F.col("_f.covers"), "EFFECTIVE").otherwise("LATEST_AVAILABLE")
-    return out.withColumns({"factor_status": status, "factor_id": F.col("_f.f_factor_id"), "value_kg_per_kwh": F.col("_f.f_value_kg_per_kwh"),
-                            "factor_source_class": F.col("_f.f_source_class"), "factor_note": F.col("_f.f_note")}).drop("_f")
+    return out.withColumns({"factor_status": status, "factor_id": F.col("_f.factor_id"), "value_kg_per_kwh": F.col("_f.value_kg_per_kwh"),
+                            "factor_source_class": F.col("_f.source_class"), "factor_note": F.col("_f.note")}).drop("_f")
 
 
 def co2_impact(df: DataFrame) -> DataFrame:

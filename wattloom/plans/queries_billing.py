@@ -77,6 +77,17 @@ def _(p):
     return B.weighted_rate(priced(p))
 
 
+@query("tariff_mean_rate", """
+SELECT machine_id, round(kwh, 4) AS kwh, round(r, 4) AS avg_rate, round(kwh * r, 4) AS flat_inr FROM (SELECT machine_id, sum(dkwh) AS kwh FROM f_priced WHERE dkwh IS NOT NULL GROUP BY 1),
+ (SELECT sum(rate * (CASE end_min WHEN 0 THEN 1440 ELSE end_min END - start_min) / 60.0::DOUBLE) / 24 AS r FROM f_tariff WHERE valid_from = DATE '2024-01-01')
+""")
+def _(p):
+    """Each machine's energy at its site's mean rate over the 24 hours, as a bill without times of use would have it."""
+    kwh = priced(p).where("dkwh is not null").groupBy("machine_id").agg(F.sum("dkwh").alias("kwh"))
+    rate = p.machines.select("machine_id", "site_id").join(B.avg_rate(QS.in_force(p)), "site_id")
+    return kwh.join(rate, "machine_id").select("machine_id", "kwh", "avg_rate", (F.col("kwh") * F.col("avg_rate")).alias("flat_inr"))
+
+
 @query("heat_sessions", """
 SELECT machine_id, heat_id, start_ts, end_ts, slices, round(kwh, 4) AS kwh, round(inr, 4) AS inr, melt_slices, round(hold_min, 4) AS hold_min, peak_c FROM f_hsess
 """)

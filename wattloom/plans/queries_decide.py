@@ -541,6 +541,29 @@ def _(p):
     return V.select_factor(impact_days(p), "on_date", p.factors).select("intervention", "on_date", "factor_status", "factor_id")
 
 
+@query("list_factors", """
+SELECT f.factor_id, value_kg_per_kwh, source_class, count(k) AS n_intervals, round(coalesce(sum(energy_kwh), 0), 4) AS energy_kwh FROM f_factor f
+LEFT JOIN f_iv ON CAST(window_start + INTERVAL 330 MINUTE AS DATE) BETWEEN effective_from AND effective_to AND complete GROUP BY ALL
+""")
+def _(p):
+    """Emission factors with the energy that falls under each."""
+    rows = p.intervals().where("complete").withColumn("on_date", F.to_date(local_time("window_start", "Asia/Kolkata")))
+    used = V.select_factor(rows, "on_date", p.factors).where("factor_status = 'EFFECTIVE'").groupBy("factor_id").agg(
+        F.count("*").alias("n_intervals"), F.sum("energy_kwh").alias("energy_kwh"))
+    return p.factors.join(used, "factor_id", "left").na.fill(0, ["n_intervals"]).na.fill(0.0, ["energy_kwh"]).select(
+        "factor_id", "value_kg_per_kwh", "source_class", "n_intervals", "energy_kwh")
+
+
+@query("list_interventions", """
+SELECT intervention, machine_id, applied_at, baseline_start, baseline_end, measurement_start, measurement_end, outcome AS status
+FROM f_verd JOIN (SELECT * EXCLUDE (machine_id) FROM f_intv) USING (intervention) WHERE outcome = 'NOT_COMPARABLE' AND applied_at >= TIMESTAMP '2024-01-10'
+""")
+def _(p):
+    told = interventions(p).join(verdicts(p).select("intervention", F.col("outcome").alias("status")), "intervention")
+    return reads.listing(told, "applied_at", start="2024-01-10", status="NOT_COMPARABLE").select(
+        "intervention", "machine_id", "applied_at", "baseline_start", "baseline_end", "measurement_start", "measurement_end", "status")
+
+
 @query("co2_impact", """
 SELECT intervention, on_date, factor_status, CASE WHEN outcome IN ('VERIFIED', 'NOT_VERIFIED') THEN round(round(saving + 1e-9, 3) * value_kg_per_kwh + 1e-9, 3) END AS co2_kg,
  contains(lower(note), 'confirm') AS provisional FROM f_factpick

@@ -273,6 +273,14 @@ def _(p):
     return p.machines.join(n, "machine_id", "left").select("machine_id", "name", "machine_type", "site_id", "n_readings").orderBy("machine_id")
 
 
+@query("list_sites", """
+SELECT site_id, count(DISTINCT m.machine_id) AS n_machines, (SELECT count(*) FROM f_sensor) AS n_sensors, count(t.ts) AS n_readings, max(t.ts) AS newest
+FROM f_machine m LEFT JOIN f_tel t USING (machine_id) GROUP BY 1
+""")
+def _(p):
+    return reads.sites(p.machines, p.sensors, p.telemetry())
+
+
 @query("overlapping", """
 SELECT dedup_key, window_start, window_end FROM f_ev WHERE window_start < TIMESTAMP '2024-01-23 12:00:00' AND window_end > TIMESTAMP '2024-01-21 03:00:00'
 """)
