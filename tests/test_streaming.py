@@ -137,3 +137,28 @@ def test_detection_over_epochs_equals_the_batch(spark, tmp_path):
     state = spark.read.parquet(f"{tmp_path}/state/progress/turn=1")
     assert state.count() == 2 and state.agg(F.max(F.size("trailing"))).first()[0] == 24
     rows.unpersist()
+
+
+def _detected(spark, path, ranges, coefficients, hot=range(0)):
+    """Events after one epoch for each range of hours of one machine; the given hours use four times the energy expected."""
+    from wattloom.operators.intervals import HOUR_COLUMNS
+    schema = ("machine_id string, machine_type string, rated_power_kw double, window_start timestamp, window_end timestamp, complete boolean, energy_kwh double, "
+              f"{', '.join(f'{c} double' for c in HOUR_COLUMNS)}, good_production_kg double, has_production_record boolean, power_max_kw double, pf_mean double")
+    base = spark.createDataFrame(coefficients, "machine_id string, coefficients map<string,double>, intercept double")
+    for ks in ranges:
+        rows = [("m", "furnace", 100.0, T0 + dt.timedelta(hours=k), T0 + dt.timedelta(hours=k + 1), True, 40.0 if k in hot else 10.0,
+                 *[1.0 if c == "hours_melting" else 0.0 for c in HOUR_COLUMNS], 5.0, True, 50.0, 0.9) for k in ks]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        T.run_to_end(T.stream_detect(T.read_files(spark, f"{path}/in", schema), base, f"{path}/out", f"{path}/state", f"{path}/c"))
+    last = T.last_epoch(spark, f"{path}/state")
+    return last, T.detected_events(spark, f"{path}/out", f"{path}/state", last).collect()
+
+
+def test_epochs_that_close_no_event_count(spark, tmp_path):
+    # no baseline, so no event at all
+    assert _detected(spark, tmp_path / "a", [range(3), range(3, 6)], [("other", {"hours_idle": 1.0}, 10.0)]) == (1, [])
+    # one event closes in the first epoch; another begins in the second and grows in the third, which close none
+    last, got = _detected(spark, tmp_path / "b", [range(0, 12), range(12, 16), range(16, 18)], [("m", {"hours_idle": 1.0}, 10.0)], hot={*range(4, 8), *range(13, 18)})
+    ends = {(r.rule_id, r.window_end) for r in got}
+    assert last == 2 and spark.read.parquet(str(tmp_path / "b/out/closed")).agg(F.max("epoch")).first()[0] == 0
+    assert ("L1_DEVIATION", T0 + dt.timedelta(hours=18)) in ends and ("L1_DEVIATION", T0 + dt.timedelta(hours=8)) in ends

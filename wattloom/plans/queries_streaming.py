@@ -126,5 +126,4 @@ def _(p):
 def _(p):
     _landed(p)
     out, state = _folder(p, "events"), _folder(p, "detect_state")
-    last = p.spark.read.parquet(f"{out}/closed").agg(F.max("epoch")).first()[0]
-    return event_columns(T.detected_events(p.spark, out, state, last))
+    return event_columns(T.detected_events(p.spark, out, state, T.last_epoch(p.spark, state)))
