@@ -162,3 +162,19 @@ def test_epochs_that_close_no_event_count(spark, tmp_path):
     ends = {(r.rule_id, r.window_end) for r in got}
     assert last == 2 and spark.read.parquet(str(tmp_path / "b/out/closed")).agg(F.max("epoch")).first()[0] == 0
     assert ("L1_DEVIATION", T0 + dt.timedelta(hours=18)) in ends and ("L1_DEVIATION", T0 + dt.timedelta(hours=8)) in ends
+
+
+def test_state_that_does_not_grow_has_few_partitions(spark, tmp_path):
+    tel = "machine_id string, ts timestamp, quality string, energy_kwh double, power_kw double, power_factor double, machine_state string"
+    machines = spark.createDataFrame([("f", "furnace", 200.0)], "machine_id string, machine_type string, rated_power_kw double")
+    spark.createDataFrame([("f", T0, "GOOD", 1.0, 4.0, 0.9, "idle")], tel).write.parquet(f"{tmp_path}/r")
+    spark.createDataFrame([("f", T0, 50.0, 1.0, "GOOD")], T.PRODUCTION_SCHEMA).write.parquet(f"{tmp_path}/p")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        found = T.stream_intervals(T.read_files(spark, f"{tmp_path}/r", tel), T.read_files(spark, f"{tmp_path}/p", T.PRODUCTION_SCHEMA), machines)
+        T.run_to_end(small=[found.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert {len([d for d in op.iterdir() if d.name.isdigit()]) for op in (tmp_path / "c/state").iterdir()} == {T.SMALL_STATE}
