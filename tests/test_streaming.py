@@ -49,6 +49,17 @@ def test_validation_inserts_first_arrivals_over_epochs(spark, tmp_path):
     assert sorted(f.name for f in (tmp_path / "s").iterdir()) == ["turn=0", "turn=1"]
 
 
+def test_validation_scans_a_batch_once(spark, tmp_path, monkeypatch):
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    machines = spark.createDataFrame([("m", 100.0)], "machine_id string, rated_power_kw double")
+    written, keep = [], T._write_state
+    monkeypatch.setattr(T, "_write_state", lambda df, path, epoch: written.append((epoch, sum("epoch=" + str(epoch) == p.name for p in (tmp_path / "out").glob("day=*/*")))) or keep(df, path, epoch))
+    for part in PARTS[:3]:
+        _land(spark, src, part)
+        T.run_to_end(T.stream_validate(T.read_files(spark, src, T.READING_SCHEMA), machines, out, f"{tmp_path}/s", f"{tmp_path}/c", now=canonical.END, backfill=True, insert=True))
+    assert written == [(0, 0), (1, 0), (2, 0)]  # nothing of the epoch lies in ``out`` yet, so the scanned rows are still cached
+
+
 def test_a_replayed_epoch_changes_nothing(spark, tmp_path):
     out, keys = f"{tmp_path}/out", "machine_id string, ts timestamp"
     rows = spark.createDataFrame([("m", T0), ("m", T0 + dt.timedelta(days=1)), ("m", T0 + dt.timedelta(days=9))], keys)

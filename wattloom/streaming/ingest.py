@@ -99,15 +99,16 @@ def stream_validate(stream: DataFrame, machines: DataFrame, out: str, state: str
         rows = ingest.first_arrivals(batch, stored_keys(batch, out, epoch)) if insert else batch
         order = ingest.with_arrival_state(rows, before).persist()  # scanned once for rows and state
         done = ingest.verdicts(order, machines, now=at, backfill=backfill, spike_multiple=spike_multiple)
+        # State first: a write to ``out`` drops whatever is cached of rows compared with the keys in ``out``.
+        seen = order.groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max(F.when(F.col("in_order"), F.col("energy_kwh"))).alias("energy_kwh"))
+        if before is not None:
+            seen = before.unionByName(seen).groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max("energy_kwh").alias("energy_kwh"))
+        _write_state(seen, state, epoch)
         if insert:
             (done.withColumns({"day": F.to_date("ts"), "epoch": F.lit(epoch).cast("long")}).repartition("day", ingest.arrival_chunk())
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(out))
         else:
             done.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        seen = order.groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max(F.when(F.col("in_order"), F.col("energy_kwh"))).alias("energy_kwh"))
-        if before is not None:
-            seen = before.unionByName(seen).groupBy("machine_id").agg(F.max("ts").alias("ts"), F.max("energy_kwh").alias("energy_kwh"))
-        _write_state(seen, state, epoch)
         order.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
