@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
-from wattloom.llm import decontam, resemblance, stages
+from wattloom.llm import decontam, golay, resemblance, stages
 from wattloom.llm.queries import tokenizer_path
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -163,3 +163,18 @@ def test_line_dedup_stage_takes_passages_of_fifty_words_in_any_layout(spark):
     expected = brute_runs(texts)
     assert got == expected
     assert sum("w1x0 " in t for t in got) == sum("w5x0 " in t for t in got) == 1 < sum("w11x0 " in t for t in got)
+
+
+def test_simhash_links_near_copies_without_any_band(spark, monkeypatch):
+    texts = [prose(7000 + k, 400) for k in range(6)]
+    for k in range(6):  # the last word changed
+        texts.append(" ".join([*texts[k].split()[:-1], "changed"]))
+    far = " ".join(w for k, w in enumerate(texts[0].split()) if k % 40)  # ten words less: out of reach
+    texts += ["", None, far]
+    apart = np.bitwise_count(np.array([golay.fingerprint(texts[k]) ^ golay.fingerprint(texts[k + 6]) for k in range(6)], np.uint64))
+    assert (apart <= 4).all() and apart.any()
+    # no two sets share a band: what is found comes from the fingerprints
+    monkeypatch.setattr(resemblance, "band_keys", lambda hashes: np.arange(40, dtype=np.int64) + int(hashes.sum() >> np.uint64(2)) // 64 * 64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in stages.simhash_near_dedup(spark, docs, "").collect()}
+    assert not kept & set(range(6, 12)) and kept >= set(range(6)) and len(kept & {12, 13}) == 1

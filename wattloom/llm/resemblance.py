@@ -5,6 +5,9 @@ so candidates come from MinHash bands: 200 minima of a set, 40 keys of five mini
 pair at similarity s shares no key with probability (1 - s^5)^40, which is 1.3e-7 at 0.8 and
 less above. Every link is verified on the whole sets, so none is invented.
 
+SimHash comes first: fingerprints of ``golay`` within four bits, by its keys, each verified like any
+link. It joins most copies; the bands are for those that differ in more bits.
+
 Only different sets are compared. Within a key all members are first compared with the
 smallest, so a large group of copies of one text costs one comparison each, not one a pair.
 Where a key still holds members of different components, its sets go through an exact prefix
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattloom.llm import golay
 from wattloom.llm.common import pieces, staged
 from wattloom.llm.components import components
 from wattloom.llm.golay import _blocks
@@ -73,9 +77,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key_col: str, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, set: digest of the shingle set, n: its size, bands: its keys) of every row."""
+    """(key, id, set: digest of the shingle set, n: its size, fp: SimHash fingerprint, bands: its keys) of every row."""
     schema = T.StructType([T.StructField("key", docs.schema[key_col].dataType), T.StructField("id", docs.schema[id_col].dataType),
-                           T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+                           T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()),
+                           T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "t"):
@@ -86,12 +91,27 @@ def signatures(docs: DataFrame, key_col: str, id_col: str, text_col: str) -> Dat
                 n.append(len(s))
                 bands.append(band_keys(s))
             offsets = pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32())
-            columns = [part.column("k"), part.column("i"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
+            fps = np.array([golay.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            columns = [part.column("k"), part.column("i"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fps),
                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands)))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
     return docs.select(F.col(key_col).alias("k"), F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
+def simhash_pairs(kinds: DataFrame) -> DataFrame:
+    """(a, b): sets of (set, n, fp) whose fingerprints are equal or within four bits, and whose sizes fit.
+
+    Every set meets the smallest of its fingerprint, and that the smallest of the fingerprint's smallest neighbour: as many
+    pairs as sets. What other pairs would add is left to the bands.
+    """
+    heads = staged(kinds.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("h"), F.count(F.lit(1)).alias("sets")).select("fp", "h.*", "sets"), "fingerprints")
+    head = heads.select("fp", F.col("set").alias("a"), F.col("n").alias("m"), "sets")
+    same = kinds.select("fp", F.col("set").alias("b"), "n").join(head.where("sets > 1"), "fp").where("a <> b")
+    near = staged(golay.links(heads.select("fp")).groupBy(F.greatest("a", "b").alias("v")).agg(F.min(F.least("a", "b")).alias("fp")), "near_fingerprints")
+    near = near.join(heads.select(F.col("fp").alias("v"), F.col("set").alias("b"), "n"), "v").join(head, "fp")
+    return same.select("a", "b", "n", "m").unionByName(near.select("a", "b", "n", "m")).where("5 * least(n, m) >= 4 * greatest(n, m)").select("a", "b")
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in pieces(batches, "t"):
         found = [shingles(t) for t in texts]
@@ -169,17 +189,19 @@ def first_of_each(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_co
     ``key_col`` identifies a row's id and text.
     """
     marked = staged(signatures(docs, key_col, id_col, text_col), "signatures")
-    kinds = staged(marked.groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    kinds = staged(marked.groupBy("set").agg(F.min(F.struct("id", "key", "fp")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    close = staged(simhash_pairs(kinds.select("set", "n", F.col("first.fp").alias("fp"))), "simhash_pairs")
     rows = kinds.select("set", "n", F.explode("bands").alias("band"))
     # Written tables, so that the joins below can split the rows of a hot band.
     least = staged(rows.groupBy("band").agg(F.min(F.struct("set", "n")).alias("m"), F.max("set").alias("x")).where("m.set <> x").select("band", F.col("m.set").alias("m"), F.col("m.n").alias("size")), "least")
     members = staged(rows.join(least, "band"), "members")
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("t")).dropDuplicates(["key"])
-    wanted = members.select("set").distinct().join(kinds.select("set", F.col("first.key").alias("key")), "set")
+    met = members.select("set").unionByName(close.select(F.explode(F.array("a", "b")).alias("set")))
+    wanted = met.distinct().join(kinds.select("set", F.col("first.key").alias("key")), "set")
     sets = staged(texts.join(wanted, "key").select("set", "t").mapInArrow(_whole_sets, "set long, hashes array<long>"), "whole_sets")
 
-    stars = members.where("set <> m AND 5 * least(n, size) >= 4 * greatest(n, size)").select(F.col("m").alias("a"), F.col("set").alias("b")).distinct()
-    linked = staged(similar(stars, sets), "links")
+    stars = members.where("set <> m AND 5 * least(n, size) >= 4 * greatest(n, size)").select(F.col("m").alias("a"), F.col("set").alias("b"))
+    linked = staged(similar(stars.unionByName(close).distinct(), sets), "links")
     roots = staged(components(linked), "roots")
     placed = members.where("set <> m").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     placed = staged(placed.select("band", "set", "root"), "placed")  # all pairs with the smallest are decided

@@ -45,7 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of every group of near-duplicates the document with the smallest id (of equal ids that with the smallest text digest).
 
-    Near-duplicates have a similarity of 0.8 or more in five-word shingles; op6's four bits of 64 do not reach so far.
+    Near-duplicates have a similarity of 0.8 or more in five-word shingles. Candidates are SimHash fingerprints within four
+    bits, as in op6, and, as these do not reach so far as 0.8, texts that share a MinHash band.
     """
     key, = fresh(docs, "key_")
     marked = docs.withColumn(key, digest_key(F.col("doc_id"), F.col("text")))
