@@ -4,8 +4,9 @@ A plain ``Window.partitionBy(machine)`` puts every row of a machine into one tas
 Here a key's rows are cut into chunks along the order (a time slice, a block of
 sequence numbers). Each chunk is summarised first (partial aggregation does that on
 the map side); a window over the *summaries* gives what every chunk inherits from the
-ones before it; the rows then only need a window inside (key, chunk). The join and
-that window hash on the same columns, so the rows are shuffled once.
+ones before it; the rows then only need a window inside (key, chunk). That window and
+the join hash on the same columns, so the rows are shuffled once; the window comes
+first, since its order also serves the join, and the rows are sorted once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str],
         *keys, chunk,
         F.coalesce(F.sum("_part").over(_over_chunks(keys, chunk).rowsBetween(*BEFORE)), F.lit(0)).alias("_carry"))
     local = F.coalesce(F.sum(value).over(_inside(keys, chunk, order).rowsBetween(*UP_TO)), F.lit(0))
-    return df.join(carry, [*keys, chunk]).withColumn(out, F.col("_carry") + local).drop("_carry")
+    return df.withColumn("_local", local).join(carry, [*keys, chunk]).withColumn(out, F.col("_carry") + F.col("_local")).drop("_carry", "_local")
 
 
 def previous_max(df: DataFrame, keys: list[str], chunk: str, order: list[str],
@@ -43,7 +44,7 @@ def previous_max(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     carry = part.select(
         *keys, chunk, F.max("_part").over(_over_chunks(keys, chunk).rowsBetween(*BEFORE)).alias("_carry"))
     local = F.max(value).over(_inside(keys, chunk, order).rowsBetween(*BEFORE))
-    return df.join(carry, [*keys, chunk]).withColumn(out, F.greatest("_carry", local)).drop("_carry")
+    return df.withColumn("_local", local).join(carry, [*keys, chunk]).withColumn(out, F.greatest("_carry", "_local")).drop("_carry", "_local")
 
 
 def previous_row(df: DataFrame, keys: list[str], chunk: str, order: list[str],
@@ -52,7 +53,7 @@ def previous_row(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     last = df.groupBy(*keys, chunk).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
     carry = last.select(*keys, chunk, F.lag("_last").over(_over_chunks(keys, chunk)).alias("_carry"))
     local = F.lag(F.struct(*cols)).over(_inside(keys, chunk, order))
-    return df.join(carry, [*keys, chunk]).withColumn(out, F.coalesce(local, F.col("_carry"))).drop("_carry")
+    return df.withColumn("_local", local).join(carry, [*keys, chunk]).withColumn(out, F.coalesce("_local", "_carry")).drop("_carry", "_local")
 
 
 def next_row(df: DataFrame, keys: list[str], chunk: str, order: list[str],
@@ -61,7 +62,15 @@ def next_row(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     first = df.groupBy(*keys, chunk).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_first"))
     carry = first.select(*keys, chunk, F.lead("_first").over(_over_chunks(keys, chunk)).alias("_carry"))
     local = F.lead(F.struct(*cols)).over(_inside(keys, chunk, order))
-    return df.join(carry, [*keys, chunk]).withColumn(out, F.coalesce(local, F.col("_carry"))).drop("_carry")
+    return df.withColumn("_local", local).join(carry, [*keys, chunk]).withColumn(out, F.coalesce("_local", "_carry")).drop("_carry", "_local")
+
+
+def behind(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """``rows`` (``_real``) and the rows of ``carry`` (not ``_real``), which windows ordered by ``_real`` first put in front of their chunk.
+
+    A second window on the same order can so use what the first found, without a join between them.
+    """
+    return rows.withColumn("_real", F.lit(True)).unionByName(carry.withColumn("_real", F.lit(False)), allowMissingColumns=True)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, width: float, out: str = "median") -> DataFrame:

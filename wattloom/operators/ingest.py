@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom import config as C
@@ -17,14 +17,15 @@ def arrival_chunk(chunk: int = SEQ_CHUNK) -> Column:
     return floor_div(F.col("seq"), chunk)
 
 
-def first_arrivals(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def first_arrivals(batch: DataFrame, stored: DataFrame | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """First arrival of each (machine, ts); rows already stored are dropped.
 
     ``min_by`` combines on the map side, so a reading redelivered many times never
-    gathers its copies in one task.
+    gathers its copies in one task. ``within`` names columns that follow from the key:
+    rows that already lie together by them (and the machine) are not shuffled again.
     """
-    rest = [c for c in batch.columns if c not in KEY]
-    first = batch.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select(*KEY, "_r.*")
+    rest = [c for c in batch.columns if c not in (*KEY, *within)]
+    first = batch.groupBy(*KEY, *within).agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select(*KEY, "_r.*")
     return first if stored is None else first.join(stored.select(*KEY), KEY, "left_anti")
 
 
@@ -74,19 +75,33 @@ def with_arrival_state(df: DataFrame, stored: DataFrame | None = None, chunk: in
 
     Two ordered scans: the newest earlier timestamp, then the highest counter among
     the earlier in-order rows. ``stored`` seeds both with the latest stored reading.
+    What a chunk inherits comes from its narrow columns; the whole rows are shuffled
+    and sorted once, behind one row that holds it.
     """
-    df = df.withColumn("_chunk", arrival_chunk(chunk))
-    df = scan.previous_max(df, ["machine_id"], "_chunk", ["seq"], "ts", "last_ts")
-    if stored is not None:
-        seed = stored.groupBy("machine_id").agg(F.max("ts").alias("_seed_ts"),
-                                                F.max_by("energy_kwh", "ts").alias("_seed_kwh"))
-        df = df.join(seed, "machine_id", "left").withColumn("last_ts", F.greatest("last_ts", "_seed_ts"))
-    in_order = F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
-    df = df.withColumn("in_order", in_order).withColumn("_kwh", F.when(F.col("in_order"), F.col("energy_kwh")))
-    df = scan.previous_max(df, ["machine_id"], "_chunk", ["seq"], "_kwh", "last_energy")
-    if stored is not None:
-        df = df.withColumn("last_energy", F.greatest("last_energy", "_seed_kwh")).drop("_seed_ts", "_seed_kwh")
-    return df.drop("_chunk", "_kwh")
+    kind = {c: df.schema[c].dataType for c in ("ts", "energy_kwh")}
+    df = df.withColumn("_chunk", arrival_chunk(chunk)).where(F.col("machine_id").isNotNull() & F.col("_chunk").isNotNull())
+    earlier = Window.partitionBy("machine_id").orderBy("_chunk").rowsBetween(*scan.BEFORE)
+    inside = Window.partitionBy("machine_id", "_chunk").orderBy("_real", "seq").rowsBetween(*scan.BEFORE)
+
+    def seeded(carry: DataFrame, of: str) -> DataFrame:
+        if stored is None:
+            return carry
+        seed = stored.groupBy("machine_id").agg((F.max("ts") if of == "ts" else F.max_by(of, "ts")).alias("_seed"))
+        return carry.join(seed, "machine_id", "left").withColumn(of, F.greatest(of, F.col("_seed").cast(kind[of]))).drop("_seed")
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("last_ts", F.max("ts").over(inside))
+        return rows.withColumn("in_order", F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts")))
+    tops = df.groupBy("machine_id", "_chunk").agg(F.max("ts").alias("ts"))
+    carry = seeded(tops.withColumn("ts", F.max("ts").over(earlier)), "ts")
+    narrow = scanned(scan.behind(df.select("machine_id", "_chunk", "seq", "ts", "energy_kwh"), carry))
+    highest = narrow.groupBy("machine_id", "_chunk").agg(
+        F.max(F.when(~F.col("_real"), F.col("ts"))).alias("ts"),
+        F.max(F.when(F.col("_real") & F.col("in_order"), F.col("energy_kwh"))).alias("energy_kwh"))
+    carry = seeded(highest.withColumn("energy_kwh", F.max("energy_kwh").over(earlier)), "energy_kwh")
+    rows = scanned(scan.behind(df, carry))
+    counter = F.when(~F.col("_real") | F.col("in_order"), F.col("energy_kwh"))
+    return rows.withColumn("last_energy", F.max(counter).over(inside)).where("_real").drop("_chunk", "_real")
 
 
 def out_of_order_reason() -> Column:

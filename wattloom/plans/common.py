@@ -104,9 +104,14 @@ class Plant:
         return self.stage("telemetry", lambda: ingest.validate_telemetry(self.unique(), self.machines, now=S.END, backfill=True))
 
     def unique(self) -> DataFrame:
-        """First arrivals, written once: both ordered scans of the validation read it again."""
+        """First arrivals, written once: both ordered scans of the validation read it again.
+
+        Readings not yet written are made here and lie together by machine and hour, so equal keys need no shuffle of their own.
+        """
         from wattloom.operators import ingest
-        return self.stage("unique", lambda: ingest.first_arrivals(self.readings()))
+        if "readings" in self._stages:
+            return self.stage("unique", lambda: ingest.first_arrivals(self.readings()))
+        return self.stage("unique", lambda: ingest.first_arrivals(S.readings(self.spark, self.sf_dir, "_chunk"), within=("_chunk",)))
 
     def production(self) -> DataFrame:
         from wattloom.operators import ingest

@@ -92,10 +92,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings in arrival order (``seq``), with late arrivals and redelivered copies."""
+def readings(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Readings in arrival order (``seq``), with late arrivals and redelivered copies; ``_chunk`` is the hour by which they lie together."""
     b = base(spark, sf_dir).withColumn("_chunk", time_chunk("ts"))
-    b = scan.running_sum(b, ["machine_id"], "_chunk", ["ts", "event_id"], "cents", "_counter").drop("_chunk")
+    b = scan.running_sum(b, ["machine_id"], "_chunk", ["ts", "event_id"], "cents", "_counter")
     e = F.col("event_id")
     p = F.when(e % 211 == 0, -F.col("value")).otherwise(F.col("value"))
     q = F.col("k").cast("double")
@@ -113,7 +113,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.lit(1.0) + F.pmod(F.col("cents"), F.lit(500)) / 100.0) * wear).alias("vibration_mm_s"),
         (F.lit(600.0) + F.col("k") * 10.0).alias("temperature_c"),
         "machine_state",
-        F.when(e % 10 < 7, "SIMULATED").otherwise("MEASURED").alias("source"))
+        F.when(e % 10 < 7, "SIMULATED").otherwise("MEASURED").alias("source"), *more)
 
 
 def production(spark: SparkSession, sf_dir: str, interval_s: int) -> DataFrame:
