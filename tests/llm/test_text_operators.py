@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -233,6 +234,27 @@ def test_repeated_bytes_of_equal_rows(spark):
     assert all(x.n_removed == x.n_bytes for x in suffix.remove(df, length=80, fragment=40, keep_first=False).collect())
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("around", [0, 9])  # one kind of segment with many copies; many kinds around one string
+def test_copies_of_a_string_are_dealt_to_several_tasks(spark, monkeypatch, keep_first, around):
+    monkeypatch.setattr(suffix, "MANY", 30, raising=False)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    texts = [prose(100 + k, around) + prose(50, 30)[:40] + prose(900 + k, around) for k in range(300)]
+    df = frame(spark, texts)
+    try:
+        for k, v in zip(usual, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        found = suffix.ranges(df, length=40, fragment=20, keep_first=keep_first, crowd=2)
+        at = [len(prose(100 + k, around)) for k in range(300)]
+        tasks = Counter(x.task for x in found.withColumn("task", F.spark_partition_id()).collect() if x.lo <= at[x.id] < x.hi)
+        got = {x.id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix.remove(df, length=40, fragment=20, keep_first=keep_first, crowd=2).collect()}
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert got == brute_bytes(list(enumerate(texts)), 40, keep_first)
+    assert sum(tasks.values()) >= 300 - keep_first and max(tasks.values()) <= 100  # a segment may be found both as a copy and by its strings
+
+
 def test_suffix_order_is_the_order_of_suffixes():
     data = np.frombuffer(b"abracadabra abracadabra abra", np.uint8)
     for length in (1, 3, 8, 11):
