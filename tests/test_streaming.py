@@ -189,3 +189,29 @@ def test_state_that_does_not_grow_has_few_partitions(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert {len([d for d in op.iterdir() if d.name.isdigit()]) for op in (tmp_path / "c/state").iterdir()} == {T.SMALL_STATE}
+
+
+def test_ingest_parses_a_batch_once_and_holds_none_in_memory(spark, tmp_path, monkeypatch):
+    one = '{"ts":"2024-01-01T00:00:00+00:00","power_kw":%d}'
+    tel = "plant/s/%s/telemetry"
+    parts = [[(1, tel % "m", one % 1), (2, tel % "x", one % 2), (3, tel % "m", "not json{"), (4, "plant/s/x", one % 4)],
+             [(5, tel % "m", "[1,2]")],  # nothing to accept
+             [(6, tel % "m", '{"records":[%s,%s]}' % (one % 6, one % 7)), (7, tel % "x", '{"ts":"yesterday"}'),
+              (8, "plant/s/production", '{"machine_id":"m","window_start":"2024-01-01T00:00:00Z","window_end":"2024-01-01T01:00:00Z","qty_total_kg":1,"qty_good_kg":1,"qty_rejected_kg":0}')]]
+    machines, plans, keep = spark.createDataFrame([("m",)], "machine_id string"), [], T.messages.good_telemetry
+    monkeypatch.setattr(T.messages, "good_telemetry", lambda df: plans.append(df._jdf.queryExecution().withCachedData().toString()) or keep(df))
+
+    def run():
+        T.run_to_end(T.stream_ingest(T.read_files(spark, f"{tmp_path}/in", T.MESSAGE_SCHEMA), machines, f"{tmp_path}/good", f"{tmp_path}/dead", f"{tmp_path}/c"))
+        good, dead = spark.read.parquet(f"{tmp_path}/good"), spark.read.parquet(f"{tmp_path}/dead")
+        return (sorted((r.epoch, r.seq, r.machine_id, r.ts, r.power_kw, r.source) for r in good.collect()), sorted((r.epoch, r.seq, r.topic or "", r.reason) for r in dead.collect()))
+    for part in parts:
+        spark.createDataFrame(part, T.MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = run()
+    assert got[0] == [(e, q, "m", T0, kw, "MEASURED") for e, q, kw in ((0, 1, 1.0), (2, 6, 6.0), (2, 6, 7.0))]
+    assert got[1] == [(0, 2, "", "unknown machine_id"), (0, 3, tel % "m", "payload is not UTF-8 JSON"), (0, 4, "plant/s/x", "unsupported topic"),
+                      (1, 5, tel % "m", "payload must be a JSON object or {'records': [objects]}"), (2, 7, tel % "x", "ts is not ISO-8601")]
+    for f in (tmp_path / "c/commits").glob("*2*"):  # as if the last epoch had stopped before its end
+        f.unlink()
+    assert run() == got and len(plans) == 4
+    assert not [p for p in plans if "InMemoryRelation" in p or "parse_json" in p.lower()]

@@ -29,16 +29,21 @@ def read_files(spark: SparkSession, path: str, schema: str, max_files: int | Non
 
 
 def stream_ingest(stream: DataFrame, machines: DataFrame, accepted: str, dead: str, checkpoint: str):
-    """Parsed readings of known machines to one folder, everything refused to another."""
+    """Parsed readings of known machines to one folder, everything refused to another.
+
+    Both are read from the batch's parsed messages, which are written below the checkpoint once and replaced by the next
+    epoch's: parsed once, and no executor holds a batch, however large it is.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        parsed = messages.parse_messages(batch).persist()
+        found = messages.parse_messages(batch).drop("payload")
+        found.write.mode("overwrite").parquet(f"{checkpoint}/parsed")
+        parsed = batch.sparkSession.read.schema(found.schema).parquet(f"{checkpoint}/parsed")
         good = messages.good_telemetry(parsed)
         # the epoch names the folder, so a replayed batch overwrites itself
         messages.known_machines(good, machines).write.mode("overwrite").parquet(f"{accepted}/epoch={epoch}")
         refused = messages.dead_letter(parsed).select("seq", "topic", "reason").unionByName(
             messages.unknown_machines(good, machines).select("seq", F.lit(None).cast("string").alias("topic"), "reason"))
         refused.write.mode("overwrite").parquet(f"{dead}/epoch={epoch}")
-        parsed.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
