@@ -18,11 +18,10 @@ def _folder(p, name):
        "UNION ALL SELECT reason, count(*) FROM f_reason WHERE reason IS NOT NULL GROUP BY 1 "
        "UNION ALL SELECT 'unknown machine_id', count(*) FROM f_reason, LATERAL (SELECT unnest(range(0, CASE WHEN m = 90 THEN 2 ELSE 1 END))) WHERE reason IS NULL AND m <> 140 AND machine_id = 'pump-01'")
 def _(p):
-    src = _folder(p, "messages")
     if "stream_messages" not in p.marks:
-        QX.message_rows(p).write.mode("overwrite").parquet(src)
+        QX.message_rows(p)  # the stream reads the stage's own files
         known = p.machines.where("machine_id <> 'pump-01'")
-        T.run_to_end(T.stream_ingest(T.read_files(p.spark, src, T.MESSAGE_SCHEMA), known, _folder(p, "accepted"), _folder(p, "dead"), _folder(p, "ckpt_ingest")))
+        T.run_to_end(T.stream_ingest(T.read_files(p.spark, f"{p.root}/messages", T.MESSAGE_SCHEMA), known, _folder(p, "accepted"), _folder(p, "dead"), _folder(p, "ckpt_ingest")))
         p.marks.add("stream_messages")  # only after success
     good, dead = p.spark.read.parquet(_folder(p, "accepted")), p.spark.read.parquet(_folder(p, "dead"))
     return good.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("part"), "n").unionByName(dead.groupBy(F.col("reason").alias("part")).agg(F.count("*").alias("n")))
